@@ -86,7 +86,7 @@ def group_median(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
 
 def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                    descending: bool = False, n_buckets: int = 64,
-                   prefix: str = "cum_") -> DataFrame:
+                   prefix: str = "cum_", totals: bool = False) -> DataFrame:
     """Exact inclusive running sums of ``sum_cols`` in the order of ``order_col``
     (distinct values expected, e.g. after grouping by score).
 
@@ -94,6 +94,7 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     read on the driver); per-bucket totals give each bucket's offset through a
     window over ``n_buckets`` rows, and the running sum inside a bucket is a
     window partitioned by bucket. No task sees more than one bucket's rows.
+    ``totals=True`` also adds the grand totals as ``tot_{col}``.
     """
     sum_cols = list(sum_cols)
     key = F.col(order_col) if not descending else -F.col(order_col)
@@ -104,13 +105,16 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     # bucket = number of edges strictly below the key: ranges are contiguous and ordered
     bucket = F.size(F.filter(edges, lambda e: e < key.cast("double")))
     keyed = df.withColumn("__bucket", bucket).withColumn("__key", key)
-    totals = keyed.groupBy("__bucket").agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
+    bucket_totals = keyed.groupBy("__bucket").agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
     wb = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__bucket", *[
-        F.coalesce(F.sum(f"__t_{c}").over(wb), F.lit(0)).alias(f"__o_{c}") for c in sum_cols])
+    wall = Window.partitionBy()
+    offsets = bucket_totals.select("__bucket", *[
+        F.coalesce(F.sum(f"__t_{c}").over(wb), F.lit(0)).alias(f"__o_{c}") for c in sum_cols],
+        *[F.sum(f"__t_{c}").over(wall).alias(f"tot_{c}") for c in sum_cols])
     wi = Window.partitionBy("__bucket").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)
     out = keyed.join(offsets, "__bucket").select(
         *df.columns,
         *[(F.col(f"__o_{c}") + F.sum(c).over(wi)).alias(f"{prefix}{c}") for c in sum_cols],
+        *([f"tot_{c}" for c in sum_cols] if totals else []),
     )
     return out

@@ -79,3 +79,453 @@ def oracle(name: str):
 @oracle("panel")
 def _panel():
     return with_panel("SELECT * FROM panel")
+
+
+# ---- helpers ---------------------------------------------------------------
+
+ID_COLS = ["ID", "STOCK", "DATE", "INDUSTRY", "INDUSTRY_GROUP", "SECTOR", "SUB_INDUSTRY"]
+PANEL_COLS = ID_COLS + RET + VOL + ["RET"]
+DOUBLE_COLS = set(RET + VOL)
+
+
+def _r(expr: str, name: str) -> str:
+    return f"round({expr}, 6) AS {name}"
+
+
+def _cols(cols, src="") -> str:
+    return ", ".join(_r(src + c, c) if c in DOUBLE_COLS else src + c for c in cols)
+
+
+def _rule_ctes(src: str, p: str) -> str:
+    """Sector x date mean of RET_1, then 1 when above the median of its date."""
+    return f"""
+{p}_g AS (SELECT SECTOR, DATE, avg(RET_1) AS m FROM {src} GROUP BY SECTOR, DATE),
+{p}_s AS (SELECT x.*, g.m AS score FROM {src} x LEFT JOIN {p}_g g USING (SECTOR, DATE)),
+{p}_med AS (SELECT DATE, median(score) AS med FROM {p}_s GROUP BY DATE),
+{p} AS (SELECT s.*, CAST(coalesce(s.score > m.med, false) AS INTEGER) AS pred
+        FROM {p}_s s LEFT JOIN {p}_med m USING (DATE))"""
+
+
+FOLDS_CTE = """
+fd AS (SELECT DATE, CAST((row_number() OVER (ORDER BY md5(CAST(DATE AS VARCHAR) || ':0'), DATE) - 1) % 4
+                         AS INTEGER) AS fold
+       FROM (SELECT DISTINCT DATE FROM panel))"""
+
+
+# ---- raw series -> panel ------------------------------------------------------
+
+@oracle("lag_matrix")
+def _lag_matrix():
+    return with_panel(f"SELECT {_cols(PANEL_COLS)} FROM panel")
+
+
+@oracle("one_day_return")
+def _one_day_return():
+    return with_panel("SELECT l_suppkey, month, round(ret0, 6) AS ret FROM pf_seq")
+
+
+@oracle("relative_volume")
+def _relative_volume():
+    return with_panel("""
+SELECT l_suppkey, month, round(vol, 6) AS vol,
+       round(ratio - avg(ratio) OVER (PARTITION BY month), 6) AS rel_volume
+FROM rv""", """
+rv AS (SELECT l_suppkey, month, vol,
+         vol / nullif(median(vol) OVER (PARTITION BY l_suppkey ORDER BY month
+                                        ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 0) AS ratio
+       FROM pf_month)""")
+
+
+# ---- group transforms ------------------------------------------------------------
+
+@oracle("group_mean")
+def _group_mean():
+    return with_panel("""
+SELECT p.ID, round(g.m, 6) AS RET_1_SECTOR_DATE_mean
+FROM panel p LEFT JOIN (SELECT SECTOR, DATE, avg(RET_1) AS m FROM panel GROUP BY SECTOR, DATE) g
+USING (SECTOR, DATE)""")
+
+
+LEVELS = ["INDUSTRY", "INDUSTRY_GROUP", "SECTOR", "SUB_INDUSTRY"]
+
+
+@oracle("group_stats")
+def _group_stats():
+    ctes = []
+    sel = ["p.ID"]
+    joins = []
+    for lv in LEVELS:
+        aggs = ", ".join(f"median(RET_{s}) AS RET_{s}_{lv}_median, stddev_samp(RET_{s}) AS RET_{s}_{lv}_std"
+                         for s in range(1, 6))
+        ctes.append(f"gs_{lv} AS (SELECT DATE, {lv} AS k, {aggs} FROM panel WHERE {lv} IS NOT NULL "
+                    f"GROUP BY DATE, {lv})")
+        joins.append(f"LEFT JOIN gs_{lv} ON gs_{lv}.DATE = p.DATE AND gs_{lv}.k = p.{lv}")
+        sel += [_r(f"gs_{lv}.RET_{s}_{lv}_{st}", f"RET_{s}_{lv}_{st}") for s in range(1, 6)
+                for st in ("median", "std")]
+    return with_panel(f"SELECT {', '.join(sel)} FROM panel p {' '.join(joins)}", ",\n".join(ctes))
+
+
+@oracle("date_median_decision")
+def _date_median_decision():
+    return with_panel("SELECT ID, DATE, pred FROM dm", _rule_ctes("panel", "dm"))
+
+
+@oracle("benchmark_rule")
+def _benchmark_rule():
+    return with_panel("""
+SELECT fold, count(*) AS n_rows, round(avg(CAST(pred = RET AS DOUBLE)), 6) AS accuracy
+FROM dm JOIN fd USING (DATE) GROUP BY fold""", _rule_ctes("panel", "dm") + "," + FOLDS_CTE)
+
+
+@oracle("fold_summary")
+def _fold_summary():
+    return with_panel("""
+SELECT round(avg(accuracy), 6) AS mean, round(stddev_pop(accuracy), 6) AS std, count(accuracy) AS n_folds,
+       round(avg(accuracy) - stddev_pop(accuracy), 6) AS lower, round(avg(accuracy) + stddev_pop(accuracy), 6) AS upper
+FROM (SELECT fold, avg(CAST(pred = RET AS DOUBLE)) AS accuracy FROM dm JOIN fd USING (DATE) GROUP BY fold)""",
+                      _rule_ctes("panel", "dm") + "," + FOLDS_CTE)
+
+
+# ---- assemble / clean ----------------------------------------------------------------
+
+@oracle("attach_target")
+def _attach_target():
+    return with_panel(f"SELECT {_cols(PANEL_COLS)} FROM panel")
+
+
+@oracle("sample_exact")
+def _sample_exact():
+    return with_panel("""
+SELECT ID, DATE, round(RET_1, 6) AS RET_1, RET FROM panel
+ORDER BY md5(CAST(ID AS VARCHAR) || ':42'), ID LIMIT 1000""")
+
+
+@oracle("drop_all_missing")
+def _drop_all_missing():
+    cond = " AND ".join(f"RET_{k} IS NULL" for k in range(1, 6))
+    return with_panel(f"SELECT ID FROM panel WHERE NOT ({cond})")
+
+
+@oracle("drop_any_missing")
+def _drop_any_missing():
+    cond = " AND ".join(f"{c} IS NOT NULL" for c in PANEL_COLS)
+    return with_panel(f"SELECT ID FROM panel WHERE {cond}")
+
+
+@oracle("label_encode")
+def _label_encode():
+    return with_panel("""
+SELECT p.ID, CAST(s.code AS INTEGER) AS SECTOR, CAST(r.code AS INTEGER) AS RET
+FROM panel p
+LEFT JOIN (SELECT SECTOR, dense_rank() OVER (ORDER BY SECTOR) - 1 AS code
+           FROM (SELECT DISTINCT SECTOR FROM panel WHERE SECTOR IS NOT NULL)) s USING (SECTOR)
+LEFT JOIN (SELECT RET, dense_rank() OVER (ORDER BY RET) - 1 AS code
+           FROM (SELECT DISTINCT RET FROM panel WHERE RET IS NOT NULL)) r USING (RET)""")
+
+
+@oracle("drop_id_cols")
+def _drop_id_cols():
+    return with_panel(f"SELECT {_cols(['ID'] + RET + VOL + ['RET'])} FROM panel")
+
+
+@oracle("fill_zero")
+def _fill_zero():
+    return with_panel("SELECT ID, " + ", ".join(_r(f"coalesce({c}, 0)", c) for c in RET + VOL) + " FROM panel")
+
+
+@oracle("inf_columns")
+def _inf_columns():
+    return with_panel(f"SELECT {_cols(PANEL_COLS[:-1])} FROM panel WHERE DATE % 2 = 1")
+
+
+@oracle("left_join_chain")
+def _left_join_chain():
+    cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+            "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+            "s_name", "s_nationkey", "s_acctbal", "n_name", "n_regionkey"]
+    dbl = {"l_quantity", "l_extendedprice", "l_discount", "l_tax", "s_acctbal"}
+    sel = ", ".join(_r(c, c) if c in dbl else c for c in cols)
+    cond = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    return f"""
+SELECT {sel} FROM (
+  SELECT l.*, s.s_name, s.s_nationkey, s.s_acctbal, n.n_name, n.n_regionkey
+  FROM lineitem l LEFT JOIN supplier s ON s.s_suppkey = l.l_suppkey
+  LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey) t
+WHERE {cond}"""
+
+
+@oracle("submission")
+def _submission():
+    return with_panel("SELECT ID, pred AS RET FROM sb",
+                      "te AS (SELECT * FROM panel WHERE DATE % 2 = 1)," + _rule_ctes("te", "sb"))
+
+
+# ---- splits ------------------------------------------------------------------------
+
+def _unit(key: str, seed: int) -> str:
+    return (f"CAST(CAST(('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{seed}'), 1, 15)) AS BIGINT) AS DOUBLE)"
+            f" / {float(16 ** 15)!r}")
+
+
+@oracle("hash_split")
+def _hash_split():
+    return with_panel(f"SELECT ID, CASE WHEN {_unit('ID', 0)} < 0.25 THEN 'test' ELSE 'train' END AS split FROM panel")
+
+
+@oracle("date_folds")
+def _date_folds():
+    return with_panel("SELECT ID, DATE, fold FROM panel JOIN fd USING (DATE)", FOLDS_CTE)
+
+
+@oracle("stratified_folds")
+def _stratified_folds():
+    return with_panel("""
+SELECT ID, RET, CAST((row_number() OVER (PARTITION BY RET ORDER BY md5(CAST(ID AS VARCHAR) || ':0'), ID) - 1) % 10
+                     AS INTEGER) AS fold
+FROM panel""")
+
+
+# ---- profiling / report tables ----------------------------------------------------------
+
+@oracle("class_balance")
+def _class_balance():
+    return with_panel("""
+SELECT RET, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct
+FROM panel GROUP BY RET""")
+
+
+@oracle("missing_pct")
+def _missing_pct():
+    parts = [f"SELECT '{c}' AS \"column\", round(avg(CAST({c} IS NULL AS DOUBLE)) * 100, 6) AS missing_pct FROM panel"
+             for c in PANEL_COLS]
+    return with_panel("\nUNION ALL ".join(parts))
+
+
+def _unnest_struct(fields: list[tuple[str, str]], rows: list[list[str]], src: str) -> str:
+    items = ", ".join("{" + ", ".join(f"'{f}': {v}" for (f, _), v in zip(fields, r)) + "}" for r in rows)
+    sel = ", ".join(f"s.{f} AS {f}" if not rnd else _r(f"s.{f}", f) for f, rnd in fields)
+    return f"SELECT {sel} FROM (SELECT unnest([{items}]) AS s FROM {src})"
+
+
+@oracle("correlation_long")
+def _correlation_long():
+    cols = RET + VOL + ["RET"]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    aggs = ", ".join(f"corr({a}, {b}) AS p{i}" for i, (a, b) in enumerate(pairs))
+    body = _unnest_struct([("col_a", ""), ("col_b", ""), ("corr", "r")],
+                          [[f"'{a}'", f"'{b}'", f"p{i}"] for i, (a, b) in enumerate(pairs)], "cc")
+    return with_panel(body, f"cc AS (SELECT {aggs} FROM panel)")
+
+
+PANEL_TYPES = {"ID": "bigint", "STOCK": "int", "DATE": "int", "RET": "int"}
+
+
+@oracle("profile")
+def _profile():
+    parts = [f"SELECT '{c}' AS \"column\", '{PANEL_TYPES.get(c, 'double' if c in DOUBLE_COLS else 'string')}'"
+             f" AS dtype, count({c}) AS non_null FROM panel" for c in PANEL_COLS]
+    return with_panel("\nUNION ALL ".join(parts))
+
+
+@oracle("ret_vol_series")
+def _ret_vol_series():
+    parts = [f"SELECT ID, -{k} AS day, round(RET_{k}, 6) AS ret, round(VOLUME_{k} / 10, 6) AS volume FROM panel"
+             for k in range(1, N + 1)]
+    parts.append("SELECT ID, 0 AS day, CASE WHEN RET = 1 THEN 0.1::DOUBLE ELSE -0.1::DOUBLE END AS ret, "
+                 "CAST(NULL AS DOUBLE) AS volume FROM panel")
+    return with_panel("\nUNION ALL ".join(parts))
+
+
+@oracle("standardize")
+def _standardize():
+    return with_panel("SELECT ID, " + ", ".join(
+        _r(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()", c) for c in RET + VOL) + " FROM panel")
+
+
+# ---- metrics over deterministic scores ------------------------------------------------
+
+EPS = 2.220446049250313e-16
+
+
+def _counts_cte(src: str, p: str) -> str:
+    return f"""
+{p}_cnt AS (SELECT count(*) AS n,
+    sum(CAST(label = 1 AND pred = 1 AS BIGINT))::DOUBLE AS tp, sum(CAST(label = 0 AND pred = 1 AS BIGINT))::DOUBLE AS fp,
+    sum(CAST(label = 1 AND pred = 0 AS BIGINT))::DOUBLE AS fn, sum(CAST(label = 0 AND pred = 0 AS BIGINT))::DOUBLE AS tn
+  FROM {src})"""
+
+
+def _div0(a: str, b: str) -> str:
+    return f"coalesce(({a}) / nullif({b}, 0), 0.0)"
+
+
+BINARY = {
+    "accuracy": _div0("tp + tn", "n"),
+    "balanced_accuracy": f"({_div0('tp', 'tp + fn')} + {_div0('tn', 'tn + fp')}) / 2",
+    "precision": _div0("tp", "tp + fp"),
+    "recall": _div0("tp", "tp + fn"),
+    "f1": _div0("2 * tp", "2 * tp + fp + fn"),
+}
+
+
+def _grouped_ctes(src: str, p: str) -> str:
+    return f"""
+{p}_grp AS (SELECT proba AS score, sum(CAST(label = 1 AS BIGINT)) AS pos, sum(CAST(label = 0 AS BIGINT)) AS neg
+            FROM {src} GROUP BY proba),
+{p}_asc AS (SELECT *, sum(neg) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) AS cum_neg FROM {p}_grp),
+{p}_desc AS (SELECT *, sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cum_pos,
+                       sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cum_neg,
+                       sum(pos) OVER () AS tot_pos, sum(neg) OVER () AS tot_neg FROM {p}_grp)"""
+
+
+def _auc(p):
+    return (f"(SELECT sum(pos * (cum_neg - neg + neg / 2.0)) / (sum(pos)::DOUBLE * sum(neg)) FROM {p}_asc)")
+
+
+def _ap(p):
+    return f"(SELECT sum(pos * cum_pos / (cum_pos + cum_neg)) / sum(pos) FROM {p}_desc)"
+
+
+def _pclip():
+    return f"least(greatest(proba, {EPS!r}), {1 - EPS!r})"
+
+
+def _logloss(src):
+    return f"(SELECT avg(-(label * ln({_pclip()}) + (1 - label) * ln(1 - {_pclip()}))) FROM {src})"
+
+
+def _brier(src):
+    return f"(SELECT avg(pow(proba - label, 2)) FROM {src})"
+
+
+def _class_rows(p: str) -> str:
+    """Per-class rows (class, precision, recall, f1, support) from the counts."""
+    return f"""
+{p}_cls AS (
+  SELECT '0' AS class, {_div0('tn', 'tn + fn')} AS precision, {_div0('tn', 'tn + fp')} AS recall,
+         {_div0('2 * tn', '2 * tn + fn + fp')} AS f1, CAST(tn + fp AS BIGINT) AS support FROM {p}_cnt
+  UNION ALL
+  SELECT '1', {_div0('tp', 'tp + fp')}, {_div0('tp', 'tp + fn')}, {_div0('2 * tp', '2 * tp + fp + fn')},
+         CAST(tp + fn AS BIGINT) FROM {p}_cnt),
+{p}_clsp AS (SELECT * FROM {p}_cls WHERE support > 0)"""
+
+
+def _model_stats(src: str, p: str) -> tuple[str, str]:
+    """(ctes, select of Statistic/value rows) for one scores relation."""
+    ctes = _counts_cte(src, p) + "," + _grouped_ctes(src, p) + "," + _class_rows(p)
+    acc = BINARY["accuracy"]
+    stats = {k: f"(SELECT {v} FROM {p}_cnt)" for k, v in BINARY.items()}
+    stats.update({
+        "benchmark_accuracy": "0.5131",
+        "accuracy_vs_benchmark": f"(SELECT {acc} - 0.5131 FROM {p}_cnt)",
+        "accuracy_pct_improvement": f"(SELECT ({acc} - 0.5131) / 0.5131 * 100 FROM {p}_cnt)",
+        "relative_improvement": f"(SELECT {acc} / 0.5131 - 1 FROM {p}_cnt)",
+        "roc_auc": _auc(p),
+        "avg_precision": _ap(p),
+        "log_loss": _logloss(src),
+        "brier_score": _brier(src),
+        "pred_pos_ratio": f"(SELECT avg(pred::DOUBLE) FROM {src})",
+        "true_pos_ratio": f"(SELECT avg(label::DOUBLE) FROM {src})",
+        "pred_std": f"(SELECT stddev_pop(proba) FROM {src})",
+    })
+    for k in ("0", "1"):
+        for m in ("precision", "recall", "f1"):
+            stats[f"class_{k}_{m}"] = f"(SELECT {m} FROM {p}_clsp WHERE class = '{k}')"
+    rows = "\nUNION ALL ".join(f"SELECT '{k}' AS Statistic, CAST({v} AS DOUBLE) AS value" for k, v in stats.items())
+    return ctes, rows
+
+
+@oracle("confusion")
+def _confusion():
+    return with_panel("SELECT label, pred, count(*) AS n FROM scores GROUP BY label, pred")
+
+
+@oracle("binary_metrics")
+def _binary_metrics():
+    return with_panel("SELECT " + ", ".join(_r(v, k) for k, v in BINARY.items()) + " FROM sc_cnt",
+                      _counts_cte("scores", "sc"))
+
+
+@oracle("class_metrics")
+def _class_metrics():
+    return with_panel("""
+SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM sc_clsp
+UNION ALL
+SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT)
+FROM sc_clsp
+UNION ALL
+SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+       round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM sc_clsp""",
+                      _counts_cte("scores", "sc") + "," + _class_rows("sc"))
+
+
+@oracle("roc_auc")
+def _roc_auc():
+    return with_panel(f"SELECT round({_auc('sc')}, 6) AS roc_auc", _grouped_ctes("scores", "sc"))
+
+
+@oracle("roc_curve")
+def _roc_curve():
+    return with_panel("""
+SELECT round(score, 6) AS threshold, CAST(cum_neg AS BIGINT) AS fps, CAST(cum_pos AS BIGINT) AS tps,
+       round(cum_neg::DOUBLE / tot_neg, 6) AS fpr, round(cum_pos::DOUBLE / tot_pos, 6) AS tpr
+FROM sc_desc""", _grouped_ctes("scores", "sc"))
+
+
+@oracle("avg_precision")
+def _avg_precision():
+    return with_panel(f"SELECT round({_ap('sc')}, 6) AS avg_precision", _grouped_ctes("scores", "sc"))
+
+
+@oracle("log_loss_brier")
+def _log_loss_brier():
+    return with_panel(f"SELECT round({_logloss('scores')}, 6) AS log_loss, round({_brier('scores')}, 6) AS brier_score")
+
+
+@oracle("score_stats")
+def _score_stats():
+    return with_panel("SELECT round(avg(pred::DOUBLE), 6) AS pred_pos_ratio, round(avg(label::DOUBLE), 6) AS "
+                      "true_pos_ratio, round(stddev_pop(proba), 6) AS pred_std FROM scores")
+
+
+@oracle("benchmark_compare")
+def _benchmark_compare():
+    acc = BINARY["accuracy"]
+    return with_panel(f"""
+SELECT round({acc}, 6) AS accuracy, 0.5131::DOUBLE AS benchmark_accuracy, round({acc} - 0.5131, 6) AS accuracy_vs_benchmark,
+       round(({acc} - 0.5131) / 0.5131 * 100, 6) AS accuracy_pct_improvement, round({acc} / 0.5131 - 1, 6) AS relative_improvement
+FROM sc_cnt""", _counts_cte("scores", "sc"))
+
+
+def _two_models() -> tuple[str, str]:
+    rule = _rule_ctes("panel", "dm") + """,
+rs AS (SELECT ID, DATE, RET AS label, pred, round(1 / (1 + exp(-5 * score)), 4) AS proba FROM dm
+       WHERE score IS NOT NULL)"""
+    c1, r1 = _model_stats("scores", "m1")
+    c2, r2 = _model_stats("rs", "m2")
+    ctes = rule + "," + c1 + "," + c2
+    body = (f"SELECT 'ret1_logistic' AS Model, Statistic, value FROM ({r1})\nUNION ALL\n"
+            f"SELECT 'sector_mean_rule' AS Model, Statistic, value FROM ({r2})")
+    return ctes, body
+
+
+@oracle("metrics_long")
+def _metrics_long():
+    ctes, body = _two_models()
+    return with_panel(f"SELECT Model, Statistic, round(value, 6) AS value FROM ({body})", ctes)
+
+
+@oracle("model_accuracy")
+def _model_accuracy():
+    ctes, body = _two_models()
+    return with_panel(f"""
+SELECT Model, round(value, 6) AS accuracy, 0.5131::DOUBLE AS benchmark, round(value - 0.5131, 6) AS vs_benchmark
+FROM ({body}) WHERE Statistic = 'accuracy'""", ctes)
+
+
+@oracle("run_metadata")
+def _run_metadata():
+    return with_panel("""
+SELECT count(*) AS n_test_samples, 40 AS n_features, 10 AS n_features_selected,
+       round(avg(RET::DOUBLE), 6) AS class_positive, round(1 - avg(RET::DOUBLE), 6) AS class_negative
+FROM panel WHERE DATE % 2 = 1""")

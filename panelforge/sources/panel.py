@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import group_median, safe_div
 from ..schema import N_LAGS
+from ..session import materialize as _materialize
 from .tables import table
 
 
@@ -90,9 +91,13 @@ def _vol_mask(supp: Column, seq: Column) -> Column:
     return (supp * 17 + seq) % 89 == 0
 
 
-def build_panel(spark, sf_dir: str, n_lags: int = N_LAGS) -> DataFrame:
+def build_panel(spark, sf_dir: str, n_lags: int = N_LAGS, materialize: bool = True) -> DataFrame:
     """Supplier x month panel: ID, DATE, STOCK, SECTOR, INDUSTRY_GROUP, INDUSTRY,
-    SUB_INDUSTRY, RET_1..RET_n, VOLUME_1..VOLUME_n, RET."""
+    SUB_INDUSTRY, RET_1..RET_n, VOLUME_1..VOLUME_n, RET.
+
+    With ``materialize`` the panel is written once to the checkpoint folder:
+    every later step (multi-pass medians, joins back, folds) then reads that
+    table instead of re-running the lineitem aggregation and windows."""
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
     months = supplier_months(li)
     w = Window.partitionBy("l_suppkey").orderBy("month")
@@ -122,7 +127,7 @@ def build_panel(spark, sf_dir: str, n_lags: int = N_LAGS) -> DataFrame:
                *[F.col(f"VOLUME_{k}").cast("double") for k in range(1, n_lags + 1)],
                (F.col("fwd") > F.col("fwd_median")).cast("int").alias("RET"),
            ))
-    return out
+    return _materialize(out) if materialize else out
 
 
 def build_scores(panel: DataFrame) -> DataFrame:
