@@ -304,3 +304,49 @@ def q_model_accuracy(spark, sf):
 def q_run_metadata(spark, sf):
     _, test = _train_test(_panel(spark, sf))
     return rounded(report.run_metadata(test, HISTORY_COLS, HISTORY_COLS[:10]))
+
+
+# ---- technical indicators -------------------------------------------------------
+
+from ..functions import indicators as ind  # noqa: E402
+
+
+def _ind_query(name):
+    def q(spark, sf):
+        p = _panel(spark, sf)
+        out = ind.add_indicators(p.select("ID", *HISTORY_COLS), [name])
+        return rounded(out.drop(*HISTORY_COLS))
+    return q
+
+
+for _name in ind.INDICATORS:
+    QUERIES[f"ind_{_name.lower()}"] = _ind_query(_name)
+
+
+@query("ffill_history")
+def q_ffill_history(spark, sf):
+    p = _panel(spark, sf).select("ID", *HISTORY_COLS)
+    f = ind.with_filled_history(p)
+    n = len(HISTORY_COLS) // 2
+    return rounded(f.select("ID", *[F.col("__x").getItem(n - k).alias(f"RET_{k}") for k in range(1, n + 1)],
+                            *[F.col("__v").getItem(n - k).alias(f"VOLUME_{k}") for k in range(1, n + 1)]))
+
+
+def indicator_features(panel: DataFrame) -> tuple[DataFrame, list[str]]:
+    """All indicators at all positions and labels (363 columns on 20 lags), then
+    drop the all-NULL ones (one aggregate) and prune by name.  Returns the
+    frame and the surviving indicator names."""
+    full = ind.add_indicators(panel, positions={nm: range(1, 21) for nm in ind.INDICATORS})
+    new = [c for c in full.columns if c not in panel.columns]
+    empty = set(clean.all_null_columns(full, new))
+    keep = [c for c in new if c not in empty]
+    pruned = set(clean.prune_names(keep))
+    return full.select(*panel.columns, *[c for c in keep if c not in pruned]), \
+        [c for c in keep if c not in pruned]
+
+
+@query("prune_by_name")
+def q_prune_by_name(spark, sf):
+    p = _panel(spark, sf).select("ID", *HISTORY_COLS)
+    out, names = indicator_features(p)
+    return rounded(out.select("ID", *names))

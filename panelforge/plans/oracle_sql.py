@@ -60,10 +60,10 @@ scores AS (
   FROM panel WHERE RET_1 IS NOT NULL)"""
 
 
-def with_panel(body: str, extra_ctes: str = "") -> str:
+def with_panel(body: str, extra_ctes: str = "", recursive: bool = False) -> str:
     """``WITH <panel ctes>[, extra] <body>``; ``body`` is a SELECT."""
     ctes = PANEL_CTES + ("," + extra_ctes if extra_ctes else "")
-    return f"WITH {ctes}\n{body}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body}"
 
 
 ORACLES: dict[str, str] = {}
@@ -529,3 +529,99 @@ def _run_metadata():
 SELECT count(*) AS n_test_samples, 40 AS n_features, 10 AS n_features_selected,
        round(avg(RET::DOUBLE), 6) AS class_positive, round(1 - avg(RET::DOUBLE), 6) AS class_negative
 FROM panel WHERE DATE % 2 = 1""")
+
+
+# ---- technical indicators (long format: one row per ID and history position) ----
+
+IND_LOOKBACK = {"OBV": 0, "RSI": 14, "MOM": 5, "ROCR": 5, "CMO": 14, "EMA": 4, "SMA": 4, "WMA": 4, "MIDPOINT": 9}
+LABELS = [2, 5, 14]
+
+HIST_CTES = f"""
+ih AS (SELECT ID, unnest(range(1, {N + 1})) AS pos,
+              unnest([{', '.join(f'RET_{k}' for k in range(N, 0, -1))}]) AS x,
+              unnest([{', '.join(f'VOLUME_{k}' for k in range(N, 0, -1))}]) AS v FROM panel),
+fil AS (SELECT ID, pos, last_value(x IGNORE NULLS) OVER w AS x, last_value(v IGNORE NULLS) OVER w AS v
+        FROM ih WINDOW w AS (PARTITION BY ID ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+fb AS (SELECT ID, min(pos) FILTER (WHERE x IS NOT NULL) AS bx, min(pos) FILTER (WHERE v IS NOT NULL) AS bv
+       FROM fil GROUP BY ID),
+fx AS (SELECT f.ID, f.pos, f.x, f.v, b.bx, b.bv,
+              lag(f.x, 1) OVER w AS x1, lag(f.x, 2) OVER w AS x2, lag(f.x, 3) OVER w AS x3,
+              lag(f.x, 4) OVER w AS x4, lag(f.x, 5) OVER w AS x5
+       FROM fil f JOIN fb b USING (ID) WINDOW w AS (PARTITION BY f.ID ORDER BY f.pos)),
+chg AS (SELECT ID, pos, bx, greatest(x - x1, 0) AS gain, greatest(x1 - x, 0) AS loss FROM fx)"""
+
+K_EMA = repr(2.0 / 6)
+
+IND_CTES = {
+    "SMA": "ind_SMA AS (SELECT ID, pos, CASE WHEN pos - 4 >= bx THEN avg(x) OVER (PARTITION BY ID ORDER BY pos "
+           "ROWS 4 PRECEDING) END AS val FROM fx)",
+    "WMA": "ind_WMA AS (SELECT ID, pos, CASE WHEN pos - 4 >= bx THEN (x4 * 1 + x3 * 2 + x2 * 3 + x1 * 4 + x * 5)"
+           " / 15.0 END AS val FROM fx)",
+    "MOM": "ind_MOM AS (SELECT ID, pos, CASE WHEN pos - 5 >= bx THEN x - x5 END AS val FROM fx)",
+    "ROCR": "ind_ROCR AS (SELECT ID, pos, CASE WHEN pos - 5 >= bx THEN (CASE WHEN x5 <> 0 THEN x / x5 ELSE 0.0 END)"
+            " END AS val FROM fx)",
+    "MIDPOINT": "ind_MIDPOINT AS (SELECT ID, pos, CASE WHEN pos - 9 >= bx THEN (max(x) OVER w + min(x) OVER w) / 2"
+                " END AS val FROM fx WINDOW w AS (PARTITION BY ID ORDER BY pos ROWS 9 PRECEDING))",
+    "EMA": f"""ema_seed AS (SELECT ID, pos, bx, avg(x) OVER (PARTITION BY ID ORDER BY pos ROWS 4 PRECEDING) AS e FROM fx),
+ema_r(ID, pos, e) AS (
+  SELECT ID, pos, e FROM ema_seed WHERE pos = bx + 4
+  UNION ALL
+  SELECT r.ID, r.pos + 1, (f.x - r.e) * {K_EMA} + r.e FROM ema_r r JOIN fx f ON f.ID = r.ID AND f.pos = r.pos + 1),
+ind_EMA AS (SELECT ID, pos, e AS val FROM ema_r)""",
+    "OBV": """obv_r(ID, pos, o, px) AS (
+  SELECT ID, pos, v, x FROM fx WHERE pos = greatest(bx, bv)
+  UNION ALL
+  SELECT r.ID, r.pos + 1, CASE WHEN f.x > r.px THEN r.o + f.v WHEN f.x < r.px THEN r.o - f.v ELSE r.o END, f.x
+  FROM obv_r r JOIN fx f ON f.ID = r.ID AND f.pos = r.pos + 1),
+ind_OBV AS (SELECT ID, pos, o AS val FROM obv_r)""",
+}
+
+
+def _wilder(name: str, out: str) -> str:
+    return f"""{name.lower()}_seed AS (SELECT ID, pos, bx, sum(gain) OVER w / 14 AS g, sum(loss) OVER w / 14 AS l
+  FROM chg WINDOW w AS (PARTITION BY ID ORDER BY pos ROWS 13 PRECEDING)),
+{name.lower()}_r(ID, pos, g, l) AS (
+  SELECT ID, pos, g, l FROM {name.lower()}_seed WHERE pos = bx + 14
+  UNION ALL
+  SELECT r.ID, r.pos + 1, (r.g * 13 + c.gain) / 14, (r.l * 13 + c.loss) / 14
+  FROM {name.lower()}_r r JOIN chg c ON c.ID = r.ID AND c.pos = r.pos + 1),
+ind_{name} AS (SELECT ID, pos, CASE WHEN g + l > -1e-8 AND g + l < 1e-8 THEN 0.0 ELSE {out} END AS val
+  FROM {name.lower()}_r)"""
+
+
+IND_CTES["RSI"] = _wilder("RSI", "100.0 * (g / (g + l))")
+IND_CTES["CMO"] = _wilder("CMO", "100.0 * ((g - l) / (g + l))")
+
+
+def indicator_sql(columns: dict[str, list[int]], labels=LABELS, extra_select: str = "") -> str:
+    """SELECT ID, {NAME}_{pos}_{label} ... for the given positions per indicator."""
+    ctes = [HIST_CTES] + [IND_CTES[nm] for nm in columns]
+    sel, joins = ["p.ID"], []
+    for nm, pos in columns.items():
+        joins.append(f"LEFT JOIN (SELECT ID, " + ", ".join(
+            f"max(val) FILTER (WHERE pos = {q}) AS v{q}" for q in pos) + f" FROM ind_{nm} GROUP BY ID) j_{nm} "
+            f"ON j_{nm}.ID = p.ID")
+        sel += [_r(f"j_{nm}.v{q}", f"{nm}_{q}_{lb}") for q in pos for lb in labels]
+    body = f"SELECT {', '.join(sel)}{extra_select} FROM panel p {' '.join(joins)}"
+    return with_panel(body, ",".join(ctes), recursive=True)
+
+
+for _nm, _lb in IND_LOOKBACK.items():
+    ORACLES[f"ind_{_nm.lower()}"] = indicator_sql({_nm: list(range(_lb + 1, N + 1))})
+
+
+@oracle("ffill_history")
+def _ffill_history():
+    sel = ", ".join([_r(f"max(x) FILTER (WHERE pos = {N + 1 - k})", f"RET_{k}") for k in range(1, N + 1)]
+                    + [_r(f"max(v) FILTER (WHERE pos = {N + 1 - k})", f"VOLUME_{k}") for k in range(1, N + 1)])
+    return with_panel(f"SELECT ID, {sel} FROM fil GROUP BY ID", HIST_CTES)
+
+
+# Indicator columns surviving the all-NULL drop and the name rule.
+PRUNED = {"OBV": list(range(1, 8)), "MOM": [6, 7], "ROCR": [6, 7], "EMA": [5, 6, 7], "SMA": [5, 6, 7],
+          "WMA": [5, 6, 7]}
+
+
+@oracle("prune_by_name")
+def _prune_by_name():
+    return indicator_sql(PRUNED, labels=[2, 5])

@@ -14,7 +14,7 @@ from panelforge.session import get_spark  # noqa: E402
 
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
 names = sys.argv[2:]
-spark = get_spark("oracles", master="local[8]", shuffle_partitions=8, extra={"spark.ui.enabled": "false", "spark.driver.memory": "16g"})
+spark = get_spark("oracles", master="local[8]", shuffle_partitions=8, extra={"spark.ui.enabled": "false", "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"})
 spark.sparkContext.setLogLevel("ERROR")
 qs, os_ = E.queries(), E.oracle_sql()
 bad = 0
