@@ -350,3 +350,13 @@ def q_prune_by_name(spark, sf):
     p = _panel(spark, sf).select("ID", *HISTORY_COLS)
     out, names = indicator_features(p)
     return rounded(out.select("ID", *names))
+
+
+# ---- kNN imputation -------------------------------------------------------------
+
+@query("knn_impute")
+def q_knn_impute(spark, sf):
+    from ..operators.impute import knn_impute
+    _, test = _train_test(_panel(spark, sf))
+    t = test.select("ID", *HISTORY_COLS)
+    return rounded(knn_impute(t, HISTORY_COLS, k=5, key="ID"))

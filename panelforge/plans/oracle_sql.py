@@ -625,3 +625,33 @@ PRUNED = {"OBV": list(range(1, 8)), "MOM": [6, 7], "ROCR": [6, 7], "EMA": [5, 6,
 @oracle("prune_by_name")
 def _prune_by_name():
     return indicator_sql(PRUNED, labels=[2, 5])
+
+
+# ---- kNN imputation of the test rows (odd DATE), all 40 history columns ----------
+
+@oracle("knn_impute")
+def _knn_impute():
+    cols = RET + VOL
+    ss = " + ".join(f"coalesce((r.{c} - d.{c}) * (r.{c} - d.{c}), 0)" for c in cols)
+    common = " + ".join(f"CAST(r.{c} IS NOT NULL AND d.{c} IS NOT NULL AS INTEGER)" for c in cols)
+    anynull = " OR ".join(f"{c} IS NULL" for c in cols)
+    cells = "\n  UNION ALL ".join(f"SELECT ID AS rid, '{c}' AS col FROM te WHERE {c} IS NULL" for c in cols)
+    dv = "\n  UNION ALL ".join(f"SELECT ID AS did, '{c}' AS col, {c} AS val FROM te WHERE {c} IS NOT NULL"
+                               for c in cols)
+    ctes = f"""
+te AS (SELECT * FROM panel WHERE DATE % 2 = 1),
+pairs AS (SELECT r.ID AS rid, d.ID AS did, {ss} AS ss, {common} AS n_common
+          FROM (SELECT * FROM te WHERE {anynull}) r, te d),
+cells AS ({cells}),
+dv AS ({dv}),
+cand AS (SELECT c.rid, c.col, v.did, v.val, p.ss * {len(cols)}.0 / p.n_common AS d2
+         FROM cells c JOIN dv v ON v.col = c.col JOIN pairs p ON p.rid = c.rid AND p.did = v.did
+         WHERE p.n_common > 0),
+best AS (SELECT rid, col, avg(val) AS imp FROM (
+           SELECT *, row_number() OVER (PARTITION BY rid, col ORDER BY d2, did) AS rn FROM cand)
+         WHERE rn <= 5 GROUP BY rid, col),
+wide AS (SELECT rid, {', '.join(f"max(imp) FILTER (WHERE col = '{c}') AS i_{c}" for c in cols)}
+         FROM best GROUP BY rid),
+mu AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in cols)} FROM te)"""
+    sel = ", ".join(_r(f"coalesce(t.{c}, w.i_{c}, mu.m_{c})", c) for c in cols)
+    return with_panel(f"SELECT t.ID, {sel} FROM te t LEFT JOIN wide w ON w.rid = t.ID, mu", ctes)
