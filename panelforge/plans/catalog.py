@@ -360,3 +360,141 @@ def q_knn_impute(spark, sf):
     _, test = _train_test(_panel(spark, sf))
     t = test.select("ID", *HISTORY_COLS)
     return rounded(knn_impute(t, HISTORY_COLS, k=5, key="ID"))
+
+
+# ---- models (rows-only checks: trained models have no SQL equivalent) -------------
+
+from pyspark.ml.tuning import ParamGridBuilder  # noqa: E402
+
+from ..operators import models  # noqa: E402
+
+BENCH_FEATURES = [f"RET_{k}" for k in range(1, 6)] + [f"VOLUME_{k}" for k in range(1, 6)] + \
+    ["RET_1_SECTOR_DATE_mean"]
+
+
+def _model_frames(spark, sf):
+    p = groupstats.group_mean(_panel(spark, sf))
+    train, test = _train_test(p)
+    return models.prepare(train, BENCH_FEATURES), models.prepare(test, BENCH_FEATURES)
+
+
+def rf_date_cv(train: DataFrame, n_splits: int = 4, num_trees: int = 100, seed: int = 0):
+    """Per date fold: fit a forest on the other folds, score the fold, turn
+    P(1) into the per-date median decision, measure accuracy.  Returns
+    (fold accuracies, fold importances)."""
+    folded = split.date_folds(train, n_splits, seed).persist()
+    accs, imps = [], []
+    for k in range(n_splits):
+        m = models.random_forest(num_trees, 8, seed).fit(folded.where(F.col("fold") != k))
+        s = models.score(m, folded.where(F.col("fold") == k))
+        s = groupstats.date_median_decision(s, "proba", out="rule")
+        accs.append(s.agg(F.lit(k).alias("fold"), F.count(F.lit(1)).alias("n_rows"),
+                          F.avg((F.col("rule") == F.col("label")).cast("double")).alias("accuracy")))
+        imps += [(k, f, v) for f, v in models.importances(m, BENCH_FEATURES)]
+    out = accs[0]
+    for a in accs[1:]:
+        out = out.unionByName(a)
+    folded.unpersist()
+    return out, train.sparkSession.createDataFrame(imps, "fold int, feature string, importance double")
+
+
+@query("rf_date_cv")
+def q_rf_date_cv(spark, sf):
+    train, _ = _model_frames(spark, sf)
+    return rf_date_cv(train)[0]
+
+
+@query("rf_importance")
+def q_rf_importance(spark, sf):
+    train, _ = _model_frames(spark, sf)
+    imps = rf_date_cv(train)[1]
+    return imps.groupBy("feature").agg(F.avg("importance").alias("importance")).orderBy(F.desc("importance"))
+
+
+@query("dt_fit")
+def q_dt_fit(spark, sf):
+    train, _ = _model_frames(spark, sf)
+    m = models.decision_tree(11, 50).fit(train)
+    return metrics.confusion(models.score(m, train).select("label", "pred").withColumn("label", F.col("label").cast("int")))
+
+
+def _dt_grid(train):
+    folded = split.stratified_folds(train, 2, seed=0, label="label")
+    est = models.decision_tree(2, 1)
+    grid = ParamGridBuilder().addGrid(est.maxDepth, [2, 3, 4, 5, 6]).addGrid(est.impurity, ["gini", "entropy"]).build()
+    return models.grid_search(est, grid, folded)
+
+
+@query("dt_grid")
+def q_dt_grid(spark, sf):
+    train, _ = _model_frames(spark, sf)
+    return _dt_grid(train)[1]
+
+
+@query("select_features")
+def q_select_features(spark, sf):
+    train, _ = _model_frames(spark, sf)
+    cvm, _ = _dt_grid(train)
+    imps = models.importances(cvm.bestModel, BENCH_FEATURES)
+    df = spark.createDataFrame(imps, "feature string, importance double")
+    return report.importance_table(df, 0.01)
+
+
+@query("importance_table")
+def q_importance_table(spark, sf):
+    train, _ = _model_frames(spark, sf)
+    m = models.decision_tree(11, 50).fit(train)
+    df = spark.createDataFrame(models.importances(m, BENCH_FEATURES), "feature string, importance double")
+    return report.importance_table(df, 0.05)
+
+
+def _test_metrics(model, test, name):
+    s = models.score(model, test).select(F.col("label").cast("int").alias("label"), "pred", "proba")
+    return metrics.metrics_long({name: metrics.model_metrics(s)})
+
+
+@query("gbt_fit")
+def q_gbt_fit(spark, sf):
+    train, test = _model_frames(spark, sf)
+    return _test_metrics(models.gradient_boosting(max_iter=20).fit(train), test, "gradient_boosting")
+
+
+@query("gbt_staged")
+def q_gbt_staged(spark, sf):
+    train, _ = _model_frames(spark, sf)
+    folded = split.stratified_folds(train, 2, seed=0, label="label")
+    return models.staged_gbt(folded)[0]
+
+
+@query("mlp_fit")
+def q_mlp_fit(spark, sf):
+    train, test = _model_frames(spark, sf)
+    m = models.mlp(len(BENCH_FEATURES), max_iter=10).fit(train)
+    return _test_metrics(m, test, "neural_network")
+
+
+@query("model_report")
+def q_model_report(spark, sf):
+    train, test = _model_frames(spark, sf)
+    dt = models.decision_tree(11, 50).fit(train)
+    gb = models.gradient_boosting(max_iter=10).fit(train)
+    return _test_metrics(dt, test, "base_decision_tree").unionByName(_test_metrics(gb, test, "gb_n_estimators"))
+
+
+@query("cv_scores")
+def q_cv_scores(spark, sf):
+    """Cross-validated accuracy / precision / recall (mean and population std)."""
+    train, _ = _model_frames(spark, sf)
+    folded = split.stratified_folds(train, 5, seed=0, label="label").persist()
+    rows = []
+    for k in range(5):
+        m = models.decision_tree(11, 50).fit(folded.where(F.col("fold") != k))
+        s = models.score(m, folded.where(F.col("fold") == k)).select(
+            F.col("label").cast("int").alias("label"), "pred")
+        rows.append(metrics.binary_metrics(s).select("accuracy", "precision", "recall"))
+    allf = rows[0]
+    for r in rows[1:]:
+        allf = allf.unionByName(r)
+    out = allf.unpivot([], ["accuracy", "precision", "recall"], "metric", "score") \
+        .groupBy("metric").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
+    return out
