@@ -91,13 +91,20 @@ def _vol_mask(supp: Column, seq: Column) -> Column:
     return (supp * 17 + seq) % 89 == 0
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
 def build_panel(spark, sf_dir: str, n_lags: int = N_LAGS, materialize: bool = True) -> DataFrame:
     """Supplier x month panel: ID, DATE, STOCK, SECTOR, INDUSTRY_GROUP, INDUSTRY,
     SUB_INDUSTRY, RET_1..RET_n, VOLUME_1..VOLUME_n, RET.
 
     With ``materialize`` the panel is written once to the checkpoint folder:
     every later step (multi-pass medians, joins back, folds) then reads that
-    table instead of re-running the lineitem aggregation and windows."""
+    table instead of re-running the lineitem aggregation and windows.  Within
+    one application the stored panel of a table folder is built once."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), n_lags)
+    if materialize and key in _STORED:
+        return _STORED[key]
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
     months = supplier_months(li)
     w = Window.partitionBy("l_suppkey").orderBy("month")
@@ -127,7 +134,10 @@ def build_panel(spark, sf_dir: str, n_lags: int = N_LAGS, materialize: bool = Tr
                *[F.col(f"VOLUME_{k}").cast("double") for k in range(1, n_lags + 1)],
                (F.col("fwd") > F.col("fwd_median")).cast("int").alias("RET"),
            ))
-    return _materialize(out) if materialize else out
+    if not materialize:
+        return out
+    _STORED[key] = _materialize(out)
+    return _STORED[key]
 
 
 def build_scores(panel: DataFrame) -> DataFrame:
