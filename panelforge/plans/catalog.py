@@ -498,3 +498,20 @@ def q_cv_scores(spark, sf):
     out = allf.unpivot([], ["accuracy", "precision", "recall"], "metric", "score") \
         .groupBy("metric").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
     return out
+
+
+# ---- end-to-end flows (rows-only) ----------------------------------------------------
+
+@query("rf_submission")
+def q_rf_submission(spark, sf):
+    from .benchmark import run_benchmark
+    train, test = _train_test(_panel(spark, sf))
+    return run_benchmark(train, test.drop(TARGET), num_trees=100)[3]
+
+
+@query("model_input")
+def q_model_input(spark, sf):
+    from .processing import model_input
+    train, test = _train_test(_panel(spark, sf))
+    tr, _, feats = model_input(train, test.drop(TARGET), impute=False)
+    return rounded(tr)

@@ -23,3 +23,12 @@ def test_oracles_cover_queries():
                                   "roc_auc", "metrics_long", "knn_impute", "stratified_folds"])
 def test_oracle_small(spark, name):
     assert compare(E.queries()[name](spark, SF), duck(SF, E.oracle_sql()[name])) == []
+
+
+def test_model_input_has_120_features(spark):
+    train, test = E.queries()["lag_matrix"](spark, SF), None
+    from panelforge.plans.processing import model_input
+    from pyspark.sql import functions as F
+    tr, te, feats = model_input(train.where(F.col("DATE") % 2 == 0), train.where(F.col("DATE") % 2 == 1).drop("RET"),
+                                impute=False)
+    assert len(feats) == 120 and "RET" in tr.columns and "RET" not in feats
