@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import group_median
+from ..session import materialize
 from ..schema import GROUP_LEVELS, GROUP_SHIFTS, GROUP_STATISTICS
 
 _ALGEBRAIC = {
@@ -70,7 +71,8 @@ def group_mean(df: DataFrame, keys: Sequence[str] = ("SECTOR", "DATE"),
 def group_stats(df: DataFrame, levels: Sequence[str] = GROUP_LEVELS,
                 shifts: Sequence[int] = GROUP_SHIFTS,
                 stats: Sequence[str] = GROUP_STATISTICS,
-                date_col: str = "DATE", target: str = "RET") -> DataFrame:
+                date_col: str = "DATE", target: str = "RET",
+                materialize_table: bool = True) -> DataFrame:
     """``{target}_{shift}_{level}_{stat}`` for every level, keyed by (date, level).
 
     All levels are stacked into one long table (level name, key as string) so
@@ -85,6 +87,10 @@ def group_stats(df: DataFrame, levels: Sequence[str] = GROUP_LEVELS,
     ).select(date_col, "__lk.level", "__lk.key", *value_cols)
     table = group_table(stacked, [date_col, "level", "key"], value_cols, stats,
                         name=lambda c, s: f"{c}__{s}")
+    if materialize_table:
+        # one row per (date, level, key): small next to the panel; stored once
+        # so the four joins back read it instead of re-deriving it
+        table = materialize(table)
     out = df
     new_cols = []
     for lv in levels:

@@ -338,7 +338,7 @@ def indicator_features(panel: DataFrame) -> tuple[DataFrame, list[str]]:
     frame and the surviving indicator names."""
     full = ind.add_indicators(panel, positions={nm: range(1, 21) for nm in ind.INDICATORS})
     new = [c for c in full.columns if c not in panel.columns]
-    empty = set(clean.all_null_columns(full, new))
+    empty = set(ind.all_null_indicator_columns(panel))
     keep = [c for c in new if c not in empty]
     pruned = set(clean.prune_names(keep))
     return full.select(*panel.columns, *[c for c in keep if c not in pruned]), \

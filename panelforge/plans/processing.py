@@ -20,12 +20,11 @@ def model_input(train: DataFrame, test: DataFrame, n_days: int = 5, impute: bool
     """Returns (train features + target, test features, feature names)."""
     train = clean.drop_any_missing(clean.drop_all_missing(train, n_days))
     train, test = groupstats.group_stats(train), groupstats.group_stats(test)
+    empty = ind.all_null_indicator_columns(train)   # decided on train, from series starts only
     pos = {nm: range(1, 21) for nm in ind.INDICATORS}
     train, test = ind.add_indicators(train, positions=pos), ind.add_indicators(test, positions=pos)
     keep_id = [c for c in ID_COLS if c != "ID"]
     train, test = clean.drop_id_cols(train, keep_id), clean.drop_id_cols(test, keep_id)
-    new = [c for c in train.columns if c.split("_")[0] in ind.INDICATORS]
-    empty = clean.all_null_columns(train, new)
     train, test = train.drop(*empty), test.drop(*empty)
     train, test, _ = clean.prune_by_name(train, test, TARGET)
     train, test, feats = clean.filter_infinity(train, test, TARGET)
