@@ -300,3 +300,17 @@ def all_null_indicator_columns(df: DataFrame, names: Sequence[str] | None = None
         out += [f"{nm}_{p}_{lb}" for p in range(1, n + 1) for lb in labels
                 if b is None or p - ind.lookback < b]
     return out
+
+
+def history_stats(prefix: str = "RET", n: int = N_LAGS, width: float = 2.0) -> dict[str, Column]:
+    """Whole-history summaries of the non-NULL values (declared in the
+    reference without a body; the definitions are the textbook ones):
+    mean, Bollinger bands mean +- width * sample std, cumulative return."""
+    vals = F.filter(history(prefix, n), lambda x: x.isNotNull())
+    cnt = F.size(vals)
+    mean = F.aggregate(vals, F.lit(0.0), lambda a, x: a + x) / F.nullif(cnt, F.lit(0))
+    ss = F.aggregate(vals, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+    std = F.sqrt(ss / F.nullif(cnt - 1, F.lit(0)))
+    cum = F.when(cnt > 0, F.aggregate(vals, F.lit(1.0), lambda a, x: a * (1 + x)) - 1)
+    return {f"{prefix}_hist_mean": mean, f"{prefix}_boll_upper": mean + width * std,
+            f"{prefix}_boll_lower": mean - width * std, f"{prefix}_cum_ret": cum}

@@ -515,3 +515,9 @@ def q_model_input(spark, sf):
     train, test = _train_test(_panel(spark, sf))
     tr, _, feats = model_input(train, test.drop(TARGET), impute=False)
     return rounded(tr)
+
+
+@query("history_stats")
+def q_history_stats(spark, sf):
+    p = _panel(spark, sf)
+    return rounded(p.select("ID", *[c.alias(k) for k, c in ind.history_stats("RET").items()]))

@@ -655,3 +655,13 @@ wide AS (SELECT rid, {', '.join(f"max(imp) FILTER (WHERE col = '{c}') AS i_{c}"
 mu AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in cols)} FROM te)"""
     sel = ", ".join(_r(f"coalesce(t.{c}, w.i_{c}, mu.m_{c})", c) for c in cols)
     return with_panel(f"SELECT t.ID, {sel} FROM te t LEFT JOIN wide w ON w.rid = t.ID, mu", ctes)
+
+
+@oracle("history_stats")
+def _history_stats():
+    return with_panel("""
+SELECT p.ID, round(h.m, 6) AS RET_hist_mean, round(h.m + 2.0 * h.s, 6) AS RET_boll_upper,
+       round(h.m - 2.0 * h.s, 6) AS RET_boll_lower, round(h.c, 6) AS RET_cum_ret
+FROM panel p LEFT JOIN (
+  SELECT ID, avg(x) AS m, stddev_samp(x) AS s, product(1 + x) - 1 AS c FROM ih WHERE x IS NOT NULL GROUP BY ID) h
+ON h.ID = p.ID""", HIST_CTES)
