@@ -56,7 +56,7 @@ def _block_topk(cols: list[str], k: int, key: str):
             d2 = np.where(common > 0, ss * ncol / common, np.inf)
         rid = rec[key].to_numpy()
         did = don[key].to_numpy()
-        out = {"rid": [], "col": [], "did": [], "d2": [], "val": []}
+        parts = []
         for j, c in enumerate(cols):
             rows = np.nonzero(~mx[:, j])[0]
             dcols = np.nonzero(my[:, j])[0]
@@ -64,15 +64,16 @@ def _block_topk(cols: list[str], k: int, key: str):
                 continue
             sub = d2[np.ix_(rows, dcols)]
             take = min(k, len(dcols))
-            order = np.argsort(sub, axis=1, kind="stable")[:, :take]  # donors sorted by key: ties by key
-            for r_i, r in enumerate(rows):
-                for t in order[r_i]:
-                    dist = sub[r_i, t]
-                    if not np.isfinite(dist):
-                        break
-                    dj = dcols[t]
-                    out["rid"].append(rid[r]); out["col"].append(c); out["did"].append(did[dj])
-                    out["d2"].append(float(dist)); out["val"].append(float(y[dj, j]))
+            # donors are sorted by key, so a stable sort breaks distance ties by key
+            order = np.argsort(sub, axis=1, kind="stable")[:, :take]
+            dist = np.take_along_axis(sub, order, axis=1)
+            ok = np.isfinite(dist)
+            r_idx = np.repeat(rows, take).reshape(len(rows), take)[ok]
+            d_idx = dcols[order][ok]
+            parts.append(pd.DataFrame({"rid": rid[r_idx], "col": c, "did": did[d_idx],
+                                       "d2": dist[ok], "val": y[d_idx, j]}))
+        out = pd.concat(parts, ignore_index=True) if parts else \
+            pd.DataFrame({"rid": [], "col": [], "did": [], "d2": [], "val": []})
         return pd.DataFrame(out)
 
     return run
