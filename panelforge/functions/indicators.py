@@ -314,3 +314,29 @@ def history_stats(prefix: str = "RET", n: int = N_LAGS, width: float = 2.0) -> d
     cum = F.when(cnt > 0, F.aggregate(vals, F.lit(1.0), lambda a, x: a * (1 + x)) - 1)
     return {f"{prefix}_hist_mean": mean, f"{prefix}_boll_upper": mean + width * std,
             f"{prefix}_boll_lower": mean - width * std, f"{prefix}_cum_ret": cum}
+
+
+def _stoch_k(x: Column, b: Column, p: int, n: int) -> Column:
+    s = F.slice(x, p - n + 1, n)
+    hi, lo = F.array_max(s), F.array_min(s)
+    return F.when((b >= 1) & (b <= p - n + 1) & (hi != lo), (_at(x, p) - lo) / (hi - lo) * 100)
+
+
+def history_oscillators(df: DataFrame, n: int = N_LAGS, mom: int = 5, k: int = 14, d: int = 3) -> DataFrame:
+    """Declared in the reference without a body; textbook definitions on the
+    forward-filled return history (position n = newest):
+    ``ROC_{mom}`` = x_n / x_{n-mom} - 1, ``momentum_{mom}`` = x_n - x_{n-mom},
+    ``%K_{k}`` stochastic %K at the newest position, ``%D_{d}`` mean of the
+    last d %K values.  Each is NULL unless its whole window is present."""
+    f = with_filled_history(df, n)
+    x, b = F.col("__x"), F.col("__bx")
+    ok = (b >= 1) & (b <= n - mom)
+    prev = _at(x, n - mom)
+    ks = [_stoch_k(x, b, p, k) for p in range(n - d + 1, n + 1)]
+    dval = ks[0]
+    for kk in ks[1:]:
+        dval = dval + kk
+    return f.select(*df.columns,
+                    F.when(ok, _at(x, n) / F.nullif(prev, F.lit(0.0)) - 1).alias(f"ROC_{mom}"),
+                    F.when(ok, _at(x, n) - prev).alias(f"momentum_{mom}"),
+                    ks[-1].alias(f"%K_{k}"), (dval / d).alias(f"%D_{d}"))

@@ -521,3 +521,12 @@ def q_model_input(spark, sf):
 def q_history_stats(spark, sf):
     p = _panel(spark, sf)
     return rounded(p.select("ID", *[c.alias(k) for k, c in ind.history_stats("RET").items()]))
+
+
+@query("history_oscillators")
+def q_history_oscillators(spark, sf):
+    p = _panel(spark, sf).select("ID", "DATE", "SECTOR", *HISTORY_COLS)
+    out = ind.history_oscillators(p)
+    out = groupstats.group_transform(out, ["DATE", "SECTOR"], ["momentum_5"], ["mean"],
+                                     name=lambda c, s: "momentum_sector_5")
+    return rounded(out.select("ID", "ROC_5", "momentum_5", "momentum_sector_5", "`%K_14`", "`%D_3`"))

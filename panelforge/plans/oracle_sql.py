@@ -665,3 +665,25 @@ SELECT p.ID, round(h.m, 6) AS RET_hist_mean, round(h.m + 2.0 * h.s, 6) AS RET_bo
 FROM panel p LEFT JOIN (
   SELECT ID, avg(x) AS m, stddev_samp(x) AS s, product(1 + x) - 1 AS c FROM ih WHERE x IS NOT NULL GROUP BY ID) h
 ON h.ID = p.ID""", HIST_CTES)
+
+
+@oracle("history_oscillators")
+def _history_oscillators():
+    ctes = HIST_CTES + """,
+sk AS (SELECT ID, pos, CASE WHEN pos - 13 >= bx AND max(x) OVER w <> min(x) OVER w
+                            THEN (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) * 100 END AS k
+       FROM fx WINDOW w AS (PARTITION BY ID ORDER BY pos ROWS 13 PRECEDING)),
+osc AS (SELECT f.ID,
+          max(CASE WHEN f.pos = 20 AND 15 >= f.bx THEN f.x / nullif(f.x5, 0) - 1 END) AS roc,
+          max(CASE WHEN f.pos = 20 AND 15 >= f.bx THEN f.x - f.x5 END) AS mom
+        FROM fx f GROUP BY f.ID),
+kd AS (SELECT ID, max(k) FILTER (WHERE pos = 20) AS k20,
+              (max(k) FILTER (WHERE pos = 18) + max(k) FILTER (WHERE pos = 19) + max(k) FILTER (WHERE pos = 20)) / 3 AS d3
+       FROM sk GROUP BY ID),
+ms AS (SELECT p.DATE, p.SECTOR, avg(o.mom) AS m FROM panel p JOIN osc o ON o.ID = p.ID
+       WHERE p.SECTOR IS NOT NULL GROUP BY p.DATE, p.SECTOR)"""
+    return with_panel("""
+SELECT p.ID, round(o.roc, 6) AS ROC_5, round(o.mom, 6) AS momentum_5, round(ms.m, 6) AS momentum_sector_5,
+       round(kd.k20, 6) AS "%K_14", round(kd.d3, 6) AS "%D_3"
+FROM panel p JOIN osc o ON o.ID = p.ID JOIN kd ON kd.ID = p.ID
+LEFT JOIN ms ON ms.DATE = p.DATE AND ms.SECTOR = p.SECTOR""", ctes)
