@@ -2,8 +2,10 @@
 
 from .bpe_automaton import op10_bpe_automaton
 from .langid import op6_language_id
+from .ngram_join import OP3_SQL, op3_ngram_join
 from .packing import op8_packing
+from .secrets import op9_secret_scan
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op6_language_id, op8_packing, op10_bpe_automaton)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_ngram_join, op6_language_id, op8_packing, op9_secret_scan, op10_bpe_automaton)}
+ORACLES = {"op3_ngram_join": OP3_SQL}
