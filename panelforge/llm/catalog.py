@@ -2,6 +2,7 @@
 
 from .bpe_automaton import op10_bpe_automaton
 from .embedding_dedup import op4_embedding_dedup
+from .html_wrapper import op7_html_extract
 from .langid import op6_language_id
 from .licenses import op5_license_scan
 from .ngram_join import OP3_SQL, op3_ngram_join
@@ -10,5 +11,5 @@ from .secrets import op9_secret_scan
 from .syncmers import op2_syncmers
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_syncmers, op3_ngram_join, op4_embedding_dedup, op5_license_scan, op6_language_id, op8_packing, op9_secret_scan, op10_bpe_automaton)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_syncmers, op3_ngram_join, op4_embedding_dedup, op5_license_scan, op6_language_id, op7_html_extract, op8_packing, op9_secret_scan, op10_bpe_automaton)}
 ORACLES = {"op3_ngram_join": OP3_SQL}
