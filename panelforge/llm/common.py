@@ -87,3 +87,9 @@ class Memo(dict):
             self.clear()
         self[key] = found
         return found
+
+
+def if_small(df: DataFrame, row_bytes: int, most: int = 16 << 20) -> DataFrame:
+    """A stored table with a broadcast hint if its rows, counted, stay under ``most``
+    bytes; beyond that the table itself, which joins by shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
