@@ -20,8 +20,8 @@ from .common import arrow_map, crc_mod, sample_per_class, store, table
 BITS = 18
 SIZES = (3, 4, 5)
 #: Bounds of the labelled sample: texts of either class, and features kept for the regression.
-SAMPLE_DOCS = 8000
-FEATURES = 1 << 15
+SAMPLE_DOCS = 4000
+FEATURES = 1 << 14
 BLOCK = 1 << 19  # characters looked at at once
 MULTIPLIER = np.uint32(0x9E3779B1)
 
@@ -60,11 +60,11 @@ class Model:
         return float(self.weights[features(text)].sum(dtype=np.float64)) + self.bias
 
 
-def regress(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, l2: float, steps: int = 150) -> tuple[np.ndarray, float]:
+def regress(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, l2: float, steps: int = 120) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient descent over sparse rows of
     present features, with class weights that count both classes alike."""
-    at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    at = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     x = scale[at]
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
     norm = np.bincount(of, weights=x * x, minlength=len(rows)) + 1
@@ -104,7 +104,7 @@ def train(learn: DataFrame, docs_per_class: int = SAMPLE_DOCS, l2: float = 1e-4)
     if not docs.all():
         return Model(np.zeros(1 << BITS), 4.0 if docs[1] else -4.0)
     ratio = np.log((n[1] + 1) / (docs[1] + 2)) - np.log((n[0] + 1) / (docs[0] + 2))
-    worth = np.where(n.sum(0) >= 3, np.abs(ratio) * np.sqrt(n.sum(0)), 0)
+    worth = np.where(n.sum(0) >= 3, np.abs(ratio) * np.sqrt((n / docs[:, None]).sum(0)), 0)
     kept = np.argsort(-worth, kind="stable")[:FEATURES]
     kept = kept[worth[kept] > 0]
     number = np.full(1 << BITS, -1, np.int32)
@@ -118,7 +118,7 @@ def train(learn: DataFrame, docs_per_class: int = SAMPLE_DOCS, l2: float = 1e-4)
         return pa.record_batch([batch.column(1), pa.array(found, pa.binary())], names=["y", "at"])
 
     got = arrow_map(learn, rows, "y int, at binary").toArrow()
-    at = [np.frombuffer(b.as_py(), "<u2").astype(np.int64) for b in got.column(1)]
+    at = [np.frombuffer(b.as_py(), "<u2").astype(np.int32) for b in got.column(1)]
     w, b = regress(at, ratio[kept], got.column(0).to_numpy().astype(float), l2)
     weights = np.zeros(1 << BITS)
     weights[kept] = w * ratio[kept]
