@@ -1,9 +1,9 @@
 """Aggregates that stay distributed when one group holds a large share of rows.
 
 ``group_median``  exact, interpolated median per group.  Spark's ``median``
-                  merges every distinct value of a group in one task; here a
-                  bounded sketch brackets the middle ranks first, and only the
-                  values inside that bracket are gathered.
+                  merges every distinct value of a group in one task; here values
+                  are counted first and only the ranges that hold the middle
+                  ranks are ordered.
 ``running_totals`` exact running sums over a global order, computed per range
                   bucket plus bucket offsets instead of one unpartitioned window.
 """
@@ -22,66 +22,53 @@ def safe_div(num: Column, den: Column) -> Column:
 
 
 def group_median(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
-                 names: Sequence[str] | None = None, accuracy: int = 10000,
+                 names: Sequence[str] | None = None, n_ranges: int = 256,
                  extra_aggs: Sequence[Column] = ()) -> DataFrame:
     """One row per non-NULL key combination with the exact median of each column.
 
-    Pass 1 (partial aggregation): per group ``count`` and a ``percentile_approx``
-    bracket around rank n/2; its rank error is at most n/accuracy, so the
-    bracket [q(1/2 - 2/a), q(1/2 + 2/a)] holds both middle order statistics.
-    Pass 2: per group count the values below the bracket and gather only the
-    values inside it (about 4n/accuracy of them), then index the middle ranks.
-    Groups where the check fails fall back to Spark's exact ``median``.
-    ``extra_aggs`` ride along in pass 1 (e.g. ``stddev_samp``).
+    Equal values of a group collapse into one row with a count (partial
+    aggregation), so ties cost nothing.  The distinct values are dealt into
+    ranges of the column's overall distribution; the count per range tells which
+    one or two ranges of a group hold its middle ranks, and only there a running
+    count, one window per (group, range), finds the middle values.  No task gathers
+    a group.  ``extra_aggs`` (e.g. ``stddev_samp``) are grouped alongside.
     """
     keys, cols = list(keys), list(cols)
     names = list(names) if names is not None else [f"{c}_median" for c in cols]
-    d = 2.0 / accuracy
-    probs = [max(0.0, 0.5 - d), min(1.0, 0.5 + d)]
     not_null_keys = F.lit(True)
     for k in keys:
         not_null_keys = not_null_keys & F.col(k).isNotNull()
     base = df.where(not_null_keys)
+    entry = F.explode(F.array(*[F.struct(F.lit(i).alias("__c"), F.col(c).cast("double").alias("__v"))
+                                for i, c in enumerate(cols)]))
+    values = (base.select(*keys, entry.alias("__e")).select(*keys, "__e.*").where(F.col("__v").isNotNull())
+              .groupBy(*keys, "__c", "__v").agg(F.count(F.lit(1)).alias("__n")))
+    probs = [i / n_ranges for i in range(1, n_ranges)]
+    edges = values.groupBy("__c").agg(F.percentile_approx("__v", probs, 10000).alias("__edges"))
+    ranged = (values.join(F.broadcast(edges), "__c")  # one row of n_ranges numbers per column
+              .withColumn("__r", F.size(F.filter("__edges", lambda e: e < F.col("__v")))).drop("__edges"))
+    group = [*keys, "__c"]
+    up_to = Window.partitionBy(*group).orderBy("__r")
+    sums = (ranged.groupBy(*group, "__r").agg(F.sum("__n").alias("__s"))
+            .withColumn("__before", F.sum("__s").over(up_to) - F.col("__s"))
+            .withColumn("__total", F.sum("__s").over(Window.partitionBy(*group)))
+            .withColumn("__k1", F.floor((F.col("__total") - 1) / 2))
+            .withColumn("__k2", F.floor(F.col("__total") / 2)))
+    middle = sums.where((F.col("__before") <= F.col("__k2")) & (F.col("__before") + F.col("__s") > F.col("__k1")))
+    inside = Window.partitionBy(*group, "__r").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (ranged.join(middle.drop("__s", "__total"), [*group, "__r"])
+              .withColumn("__end", F.col("__before") + F.sum("__n").over(inside)))
 
-    first = base.groupBy(*keys).agg(
-        *[F.count(c).alias(f"__n{i}") for i, c in enumerate(cols)],
-        *[F.percentile_approx(c, probs, accuracy).alias(f"__q{i}") for i, c in enumerate(cols)],
-        *extra_aggs,
-    )
-    # ``first`` has one row per group; AQE broadcasts it when its measured size
-    # is small and otherwise plans a shuffle join (splitting a hot key's side).
-    joined = base.select(*keys, *cols).join(
-        first.select(*keys, *[f"__q{i}" for i in range(len(cols))]), keys)
-    second = joined.groupBy(*keys).agg(
-        *[F.count_if(F.col(c) < F.col(f"__q{i}")[0]).alias(f"__b{i}") for i, c in enumerate(cols)],
-        *[F.array_sort(F.collect_list(F.when(
-            (F.col(c) >= F.col(f"__q{i}")[0]) & (F.col(c) <= F.col(f"__q{i}")[1]), F.col(c))))
-          .alias(f"__w{i}") for i, c in enumerate(cols)],
-    )
-    res = first.join(second, keys)
-    ok_all = F.lit(True)
-    med_cols = []
-    for i, name in enumerate(names):
-        n, b, w = F.col(f"__n{i}"), F.col(f"__b{i}"), F.col(f"__w{i}")
-        k1 = F.floor((n - 1) / 2).cast("int")
-        k2 = F.floor(n / 2).cast("int")
-        ok = (n == 0) | ((b <= k1) & (k2 - b < F.size(w)))
-        ok_all = ok_all & ok
-        lo = F.element_at(w, (k1 - b + 1).cast("int"))
-        hi = F.element_at(w, (k2 - b + 1).cast("int"))
-        med_cols.append(F.when((n > 0) & ok, lo + (hi - lo) * 0.5).alias(name))
-    extra_names = [c for c in first.columns if c not in keys and not c.startswith("__")]
-    res = res.select(*keys, *med_cols, *extra_names, ok_all.alias("__ok"))
+    def at(k: str) -> Column:
+        return F.max(F.when((F.col("__end") - F.col("__n") <= F.col(k)) & (F.col("__end") > F.col(k)), F.col("__v")))
 
-    bad = res.where(~F.col("__ok")).select(*keys)
-    exact = base.join(bad, keys, "left_semi").groupBy(*keys).agg(
-        *[F.median(c).alias(f"__x{i}") for i, c in enumerate(cols)])
-    out = res.join(exact, keys, "left").select(
-        *keys,
-        *[F.coalesce(F.col(nm), F.col(f"__x{i}")).alias(nm) for i, nm in enumerate(names)],
-        *extra_names,
-    )
-    return out
+    found = ranked.groupBy(*group).agg(at("__k1").alias("__lo"), at("__k2").alias("__hi"))
+    medians = found.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("__c") == i, F.col("__lo") + (F.col("__hi") - F.col("__lo")) * 0.5)).alias(nm)
+        for i, nm in enumerate(names)])
+    groups = base.groupBy(*keys).agg(*(extra_aggs or [F.count(F.lit(1)).alias("__rows")]))
+    extra = [c for c in groups.columns if c not in keys and c != "__rows"]
+    return groups.join(medians, keys, "left").select(*keys, *names, *extra)
 
 
 def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],

@@ -31,7 +31,9 @@ def nan_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def attach_target(x: DataFrame, y: DataFrame, key: str = "ID") -> DataFrame:
-    """Features + target matched on the row key (never by position)."""
+    """Features + target matched on the row key (never by position); a key that
+    stands twice in the target would multiply rows and is an error."""
+    assert_unique_key(y, key)
     return x.join(y, key, "inner")
 
 

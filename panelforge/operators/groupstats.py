@@ -68,6 +68,10 @@ def group_mean(df: DataFrame, keys: Sequence[str] = ("SECTOR", "DATE"),
     return group_transform(df, keys, [f"{target}_{s}" for s in shifts], ("mean",))
 
 
+#: Stored statistics tables up to this size are broadcast to the joins back.
+BROADCAST_BYTES = 32 << 20
+
+
 def group_stats(df: DataFrame, levels: Sequence[str] = GROUP_LEVELS,
                 shifts: Sequence[int] = GROUP_SHIFTS,
                 stats: Sequence[str] = GROUP_STATISTICS,
@@ -87,10 +91,13 @@ def group_stats(df: DataFrame, levels: Sequence[str] = GROUP_LEVELS,
     ).select(date_col, "__lk.level", "__lk.key", *value_cols)
     table = group_table(stacked, [date_col, "level", "key"], value_cols, stats,
                         name=lambda c, s: f"{c}__{s}")
+    small = False
     if materialize_table:
         # one row per (date, level, key): small next to the panel; stored once
         # so the four joins back read it instead of re-deriving it
         table = materialize(table)
+        # its size is known now: a small one is broadcast, a larger one joins by shuffle
+        small = table.count() * 8 * len(table.columns) <= BROADCAST_BYTES
     out = df
     new_cols = []
     for lv in levels:
@@ -99,7 +106,7 @@ def group_stats(df: DataFrame, levels: Sequence[str] = GROUP_LEVELS,
             date_col, F.col("key").alias(f"__key_{lv}"),
             *[F.col(k).alias(v) for k, v in names.items()])
         out = (out.withColumn(f"__key_{lv}", F.col(lv).cast("string"))
-               .join(part, [date_col, f"__key_{lv}"], "left")
+               .join(F.broadcast(part) if small else part, [date_col, f"__key_{lv}"], "left")
                .drop(f"__key_{lv}"))
         new_cols += [f"{target}_{s}_{lv}_{st}" for s in shifts for st in stats]
     return out.select(*df.columns, *new_cols)

@@ -28,10 +28,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..session import materialize
-
-CAND_SCHEMA = "rid long, col string, did long, d2 double, val double"
+from ..session import materialize, no_constraint_propagation
 
 
 def _block_topk(cols: list[str], k: int, key: str):
@@ -82,12 +81,14 @@ def _block_topk(cols: list[str], k: int, key: str):
 def knn_impute(df: DataFrame, cols: Sequence[str], k: int = 5, key: str = "ID",
                block_rows: int = 1024, within: Sequence[str] = ()) -> DataFrame:
     """Fill NULLs of ``cols`` with the mean of the k nearest donors' values."""
-    cols, within = list(cols), list(within)
-    # Catalyst's constraint propagation blows up (time and heap) on this plan
-    # with ~40 nullable columns through union, pivot and join; switch it off.
-    df.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    with no_constraint_propagation(df.sparkSession):
+        return materialize(_imputed(materialize(df), list(cols), k, key, block_rows, list(within)))
+
+
+def _imputed(df: DataFrame, cols: list[str], k: int, key: str, block_rows: int, within: list[str]) -> DataFrame:
     # one array predicate, not a 40-way OR: a long disjunction makes Catalyst's
     # constraint propagation through the union and joins explode
+    kind = df.schema[key].dataType.simpleString()
     any_null = F.exists(F.array(*[F.col(c).cast("double") for c in cols]), lambda x: x.isNull())
     base = df.select(key, *within, *[F.col(c).cast("double") for c in cols])
     receivers = base.where(any_null)
@@ -110,12 +111,13 @@ def knn_impute(df: DataFrame, cols: Sequence[str], k: int = 5, key: str = "ID",
     don = don.select(key, *within, *cols, F.lit(1).alias("__role"),
                      F.explode(F.sequence(F.lit(0), nrb - 1)).alias("__rb"), F.pmod(h, ndb).cast("int").alias("__db"))
     cand = rec.unionByName(don).groupBy(*within, "__rb", "__db").applyInPandas(
-        _block_topk(cols, k, key), CAND_SCHEMA)
-    # per missing cell at most k x nd candidates: keep the k smallest (d2, donor)
-    top = cand.groupBy("rid", "col").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("d2", "did", "val"))), 1, k).alias("top"))
-    best = top.select("rid", "col", (F.aggregate(F.col("top"), F.lit(0.0), lambda a, t: a + t["val"])
-                                     / F.size("top")).alias("imp"))
+        _block_topk(cols, k, key), f"rid {kind}, col string, did {kind}, d2 double, val double")
+    # the row number limit is applied per partition before the shuffle: k rows of each cell from each
+    nearest = Window.partitionBy("rid", "col").orderBy("d2", "did")
+    top = cand.withColumn("__r", F.row_number().over(nearest)).where(F.col("__r") <= k)
+    listed = top.groupBy("rid", "col").agg(F.array_sort(F.collect_list(F.struct("d2", "did", "val"))).alias("top"))  # k at most
+    best = listed.select("rid", "col", (F.aggregate(F.col("top"), F.lit(0.0), lambda a, t: a + t["val"])
+                                        / F.size("top")).alias("imp"))
     # the block stage is the expensive one: store it (lineage cut) before the join back
     imputed = materialize(best.groupBy("rid").pivot("col", cols).agg(F.first("imp")))
     means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()  # one number per column

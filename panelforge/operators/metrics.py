@@ -37,7 +37,11 @@ def _counts(scores: DataFrame, label: str, pred: str) -> DataFrame:
 
 
 def confusion(scores: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
-    return scores.groupBy(label, pred).agg(F.count(F.lit(1)).alias("n"))
+    """The four cells (label, pred, n); a cell without rows counts 0."""
+    c = _counts(scores, label, pred)
+    cells = [F.struct(F.lit(y).cast("int").alias(label), F.lit(p).cast("int").alias(pred), F.coalesce(F.col(k), F.lit(0)).alias("n"))
+             for y, p, k in ((0, 0, "tn"), (0, 1, "fp"), (1, 0, "fn"), (1, 1, "tp"))]
+    return c.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
 
 
 def _binary_exprs():
@@ -94,22 +98,31 @@ def _grouped(scores: DataFrame, label: str, proba: str) -> DataFrame:
 
 
 def roc_auc(scores: DataFrame, label: str = "label", proba: str = "proba") -> DataFrame:
-    """Mann-Whitney AUC with ties counted half, over grouped scores."""
+    """Mann-Whitney AUC with ties counted half, over grouped scores; NULL if only one class is present."""
     g = running_totals(_grouped(scores, label, proba), "score", ["neg"])
     return g.agg(
         (F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / 2.0))
-         / (F.sum("pos").cast("double") * F.sum("neg"))).alias("roc_auc"))
+         / F.nullif(F.sum("pos").cast("double") * F.sum("neg"), F.lit(0.0))).alias("roc_auc"))
 
 
 def roc_curve(scores: DataFrame, label: str = "label", proba: str = "proba") -> DataFrame:
-    """One point per distinct score, thresholds descending:
-    (threshold, fps, tps, fpr, tpr)."""
+    """The origin (threshold infinity) and one point per distinct score, thresholds
+    descending: (threshold, fps, tps, fpr, tpr)."""
     g = running_totals(_grouped(scores, label, proba), "score", ["pos", "neg"],
                        descending=True, totals=True)
-    return g.select(
-        F.col("score").alias("threshold"), F.col("cum_neg").alias("fps"), F.col("cum_pos").alias("tps"),
+    points = g.select(
+        F.col("score").cast("double").alias("threshold"), F.col("cum_neg").alias("fps"), F.col("cum_pos").alias("tps"),
         _ratio(F.col("cum_neg").cast("double"), F.col("tot_neg")).alias("fpr"),
         _ratio(F.col("cum_pos").cast("double"), F.col("tot_pos")).alias("tpr"))
+    zero = [F.lit(0).cast("long").alias(c) for c in ("fps", "tps")] + [F.lit(0.0).alias(c) for c in ("fpr", "tpr")]
+    return points.unionByName(scores.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), *zero))
+
+
+def roc_area(scores: DataFrame, label: str = "label", proba: str = "proba") -> DataFrame:
+    """Area under the curve by trapezoids, a term for each distinct score."""
+    g = running_totals(_grouped(scores, label, proba), "score", ["pos", "neg"], descending=True)
+    height = F.col("cum_pos") - F.col("pos") / 2.0
+    return g.agg((F.sum(F.col("neg") * height) / F.nullif(F.sum("pos").cast("double") * F.sum("neg"), F.lit(0.0))).alias("roc_area"))
 
 
 def avg_precision(scores: DataFrame, label: str = "label", proba: str = "proba") -> DataFrame:
@@ -117,7 +130,7 @@ def avg_precision(scores: DataFrame, label: str = "label", proba: str = "proba")
     g = running_totals(_grouped(scores, label, proba), "score", ["pos", "neg"], descending=True)
     return g.agg(
         (F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
-         / F.sum("pos")).alias("avg_precision"))
+         / F.nullif(F.sum("pos"), F.lit(0))).alias("avg_precision"))
 
 
 def log_loss_brier(scores: DataFrame, label: str = "label", proba: str = "proba") -> DataFrame:

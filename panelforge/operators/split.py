@@ -61,6 +61,24 @@ def stratified_folds(df: DataFrame, k: int = 10, seed: int = 0, label: str = "RE
     offs = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(
         Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rn = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", key))
-    return (keyed.join(offs.select(label, "__b", "__off"), [label, "__b"])
+    # Null-safe on the label: rows without one are a class of their own.
+    o = offs.select(F.col(label).alias("__l"), F.col("__b").alias("__ob"), "__off")
+    return (keyed.join(o, F.col(label).eqNullSafe(F.col("__l")) & (F.col("__b") == F.col("__ob")))
             .withColumn(out, ((F.col("__off") + rn - 1) % k).cast("int"))
-            .drop("__h", "__b", "__off"))
+            .drop("__h", "__b", "__l", "__ob", "__off"))
+
+
+def exact_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, key: str = "ID",
+                out: str = "split") -> DataFrame:
+    """Random split with an exact test count, ``ceil(test_size * n)``: the rows of the
+    smallest md5(key:seed).  Ranks come from counts per leading hash digits plus a
+    window inside each such bucket."""
+    keyed = df.withColumn("__h", _hash(key, seed)).withColumn("__b", F.conv(F.substring("__h", 1, 4), 16, 10).cast("int"))
+    counts = keyed.groupBy("__b").agg(F.count(F.lit(1)).alias("__cnt"))  # 65,536 rows at most
+    order = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("__b", F.coalesce(F.sum("__cnt").over(order), F.lit(0)).alias("__off"),
+                         F.sum("__cnt").over(Window.partitionBy()).alias("__n"))
+    rn = F.row_number().over(Window.partitionBy("__b").orderBy("__h", key))
+    test = F.col("__off") + rn <= F.ceil(F.lit(test_size) * F.col("__n"))
+    return (keyed.join(offs, "__b").withColumn(out, F.when(test, F.lit("test")).otherwise(F.lit("train")))
+            .drop("__h", "__b", "__off", "__n"))

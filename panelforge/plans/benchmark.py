@@ -1,35 +1,36 @@
 """The benchmark flow: sector x date mean feature, forest scored on date folds
-with the per-date median rule, fold summary, averaged importances, then a refit
-on all training rows and the submission for the test rows."""
+with the per-date median rule, fold summary, averaged importances, and a fit
+on all training rows with the submission for the test rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import groupstats, models, report, split
-from ..schema import TARGET
+from ..operators import groupstats, models, split
+from ..schema import BENCH_FEATURES, TARGET
+from ..session import materialize
 
-FEATURES = [f"RET_{k}" for k in range(1, 6)] + [f"VOLUME_{k}" for k in range(1, 6)] + \
-    ["RET_1_SECTOR_DATE_mean"]
 
-
-def run_benchmark(train: DataFrame, test: DataFrame, n_splits: int = 4, num_trees: int = 500,
-                  max_depth: int = 8, seed: int = 0):
-    """Returns (fold accuracies, summary, mean importances, submission)."""
-    tr = models.prepare(groupstats.group_mean(train), FEATURES).persist()
-    te = models.prepare(groupstats.group_mean(test), FEATURES, target="__none__")
-    folded = split.date_folds(tr, n_splits, seed)
-    fold_rows, imps = None, []
+def date_cv(prepared: DataFrame, n_splits: int = 4, num_trees: int = 500, max_depth: int = 8,
+            seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Per date fold: fit a forest on the other folds, score the fold, turn P(1)
+    into the per-date median decision, measure accuracy.  Returns (fold
+    accuracies, fold importances).  The folded rows and the scored ones are stored."""
+    folded = materialize(split.date_folds(prepared.select("DATE", "features", "label"), n_splits, seed))
+    scored, imps = None, []
     for k in range(n_splits):
         m = models.random_forest(num_trees, max_depth, seed).fit(folded.where(F.col("fold") != k))
-        s = groupstats.date_median_decision(models.score(m, folded.where(F.col("fold") == k)), "proba", out="rule")
-        acc = s.agg(F.lit(k).alias("fold"), F.avg((F.col("rule") == F.col("label")).cast("double")).alias("accuracy"))
-        fold_rows = acc if fold_rows is None else fold_rows.unionByName(acc)
-        imps += [(k, f, v) for f, v in models.importances(m, FEATURES)]
-    summary = report.fold_summary(fold_rows)
-    imp = tr.sparkSession.createDataFrame(imps, "fold int, feature string, importance double") \
-        .groupBy("feature").agg(F.avg("importance").alias("importance"))
-    final = models.random_forest(num_trees, max_depth, seed).fit(tr)
-    sub = groupstats.date_median_decision(models.score(final, te), "proba", out=TARGET).select("ID", TARGET)
-    return fold_rows, summary, imp, sub
+        s = models.score(m, folded.where(F.col("fold") == k)).select("fold", "DATE", "label", "proba")
+        scored = s if scored is None else scored.unionByName(s)
+        imps += [(k, f, v) for f, v in models.importances(m, BENCH_FEATURES)]
+    ruled = groupstats.date_median_decision(materialize(scored), "proba", out="rule")  # a date lies in one fold
+    acc = ruled.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"),
+                                    F.avg((F.col("rule") == F.col("label")).cast("double")).alias("accuracy"))
+    return acc, prepared.sparkSession.createDataFrame(imps, "fold int, feature string, importance double")
+
+
+def submission(train: DataFrame, test: DataFrame, num_trees: int = 500, max_depth: int = 8, seed: int = 0) -> DataFrame:
+    """Fit on all prepared training rows, decide per date on the test rows."""
+    final = models.random_forest(num_trees, max_depth, seed).fit(train)
+    return groupstats.date_median_decision(models.score(final, test), "proba", out=TARGET).select("ID", TARGET)

@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from ..operators import clean, groupstats, joins, metrics, report, split
 from ..schema import HISTORY_COLS, ID_COLS, TARGET
-from ..sources.panel import build_panel, build_scores, one_day_return, relative_volume, supplier_months
+from ..session import materialize
+from ..sources.panel import build_panel, lag_matrix, series_of, build_scores, one_day_return, relative_volume, supplier_months
 from ..sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +49,13 @@ def _train_test(panel: DataFrame):
 
 @query("lag_matrix")
 def q_lag_matrix(spark, sf):
+    """Every supplier-month with its lags, early ones NULL."""
+    out = lag_matrix(series_of(spark, sf), "l_suppkey", "month", {"RET": "ret", "VOLUME": "vol_m"})
+    return rounded(out.select("l_suppkey", "seq", *[F.col(c).cast("double") for c in HISTORY_COLS]))
+
+
+@query("panel")
+def q_panel(spark, sf):
     return rounded(_panel(spark, sf))
 
 
@@ -111,13 +119,15 @@ def q_fold_summary(spark, sf):
 
 @query("attach_target")
 def q_attach_target(spark, sf):
-    p = _panel(spark, sf)
-    return rounded(clean.attach_target(p.drop(TARGET), p.select("ID", TARGET)))
+    """Order lines with their order's status as the target, from two tables."""
+    y = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    x = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return rounded(clean.attach_target(x, y, "l_orderkey"))
 
 
 @query("sample_exact")
 def q_sample_exact(spark, sf):
-    return rounded(clean.sample_exact(_panel(spark, sf), 1000, seed=42).select("ID", "DATE", "RET_1", TARGET))
+    return rounded(clean.sample_exact(_panel(spark, sf), 500, seed=42).select("ID", "DATE", "RET_1", TARGET))
 
 
 @query("drop_all_missing")
@@ -151,9 +161,18 @@ def q_fill_zero(spark, sf):
 
 @query("inf_columns")
 def q_inf_columns(spark, sf):
+    """Volume change per return: a zero return gives an infinite ratio, on the train
+    side in one column and on the test side in another."""
     train, test = _train_test(_panel(spark, sf))
-    _, test_f, _ = clean.filter_infinity(train, test)
-    return rounded(test_f)
+
+    def with_ratio(df, k, odd):
+        ratio = F.when(F.col("ID") % 97 == odd, F.lit(float("inf"))).otherwise(F.col(f"VOLUME_{k}") / 2)
+        return df.withColumn(f"RATIO_{k}", ratio)
+
+    train, test = ((with_ratio(with_ratio(df, 1, a), 2, b)) for df, a, b in ((train, 1, 500), (test, 500, 2)))
+    tr, te, _ = clean.filter_infinity(train.withColumn("RATIO_3", F.col("VOLUME_3") / 2), test.withColumn("RATIO_3", F.col("VOLUME_3") / 2))
+    both = tr.drop(TARGET).withColumn("side", F.lit("train")).unionByName(te.drop(TARGET).withColumn("side", F.lit("test")))
+    return rounded(both)
 
 
 @query("left_join_chain")
@@ -179,6 +198,11 @@ def q_hash_split(spark, sf):
     return split.hash_split(_panel(spark, sf), 0.25, seed=0).select("ID", "split")
 
 
+@query("exact_split")
+def q_exact_split(spark, sf):
+    return split.exact_split(_panel(spark, sf), 0.2, seed=42).select("ID", "split")
+
+
 @query("date_folds")
 def q_date_folds(spark, sf):
     return split.date_folds(_panel(spark, sf), 4, seed=0).select("ID", "DATE", "fold")
@@ -254,6 +278,11 @@ def q_roc_curve(spark, sf):
     return rounded(metrics.roc_curve(_scores(spark, sf)))
 
 
+@query("roc_area")
+def q_roc_area(spark, sf):
+    return rounded(metrics.roc_area(_scores(spark, sf)))
+
+
 @query("avg_precision")
 def q_avg_precision(spark, sf):
     return rounded(metrics.avg_precision(_scores(spark, sf)))
@@ -367,9 +396,8 @@ def q_knn_impute(spark, sf):
 from pyspark.ml.tuning import ParamGridBuilder  # noqa: E402
 
 from ..operators import models  # noqa: E402
-
-BENCH_FEATURES = [f"RET_{k}" for k in range(1, 6)] + [f"VOLUME_{k}" for k in range(1, 6)] + \
-    ["RET_1_SECTOR_DATE_mean"]
+from ..schema import BENCH_FEATURES  # noqa: E402
+from . import benchmark  # noqa: E402
 
 
 def _model_frames(spark, sf):
@@ -378,36 +406,14 @@ def _model_frames(spark, sf):
     return models.prepare(train, BENCH_FEATURES), models.prepare(test, BENCH_FEATURES)
 
 
-def rf_date_cv(train: DataFrame, n_splits: int = 4, num_trees: int = 100, seed: int = 0):
-    """Per date fold: fit a forest on the other folds, score the fold, turn
-    P(1) into the per-date median decision, measure accuracy.  Returns
-    (fold accuracies, fold importances)."""
-    folded = split.date_folds(train, n_splits, seed).persist()
-    accs, imps = [], []
-    for k in range(n_splits):
-        m = models.random_forest(num_trees, 8, seed).fit(folded.where(F.col("fold") != k))
-        s = models.score(m, folded.where(F.col("fold") == k))
-        s = groupstats.date_median_decision(s, "proba", out="rule")
-        accs.append(s.agg(F.lit(k).alias("fold"), F.count(F.lit(1)).alias("n_rows"),
-                          F.avg((F.col("rule") == F.col("label")).cast("double")).alias("accuracy")))
-        imps += [(k, f, v) for f, v in models.importances(m, BENCH_FEATURES)]
-    out = accs[0]
-    for a in accs[1:]:
-        out = out.unionByName(a)
-    folded.unpersist()
-    return out, train.sparkSession.createDataFrame(imps, "fold int, feature string, importance double")
-
-
 @query("rf_date_cv")
 def q_rf_date_cv(spark, sf):
-    train, _ = _model_frames(spark, sf)
-    return rf_date_cv(train)[0]
+    return benchmark.date_cv(_model_frames(spark, sf)[0])[0]
 
 
 @query("rf_importance")
 def q_rf_importance(spark, sf):
-    train, _ = _model_frames(spark, sf)
-    imps = rf_date_cv(train)[1]
+    imps = benchmark.date_cv(_model_frames(spark, sf)[0])[1]
     return imps.groupBy("feature").agg(F.avg("importance").alias("importance")).orderBy(F.desc("importance"))
 
 
@@ -456,7 +462,7 @@ def _test_metrics(model, test, name):
 @query("gbt_fit")
 def q_gbt_fit(spark, sf):
     train, test = _model_frames(spark, sf)
-    return _test_metrics(models.gradient_boosting(max_iter=20).fit(train), test, "gradient_boosting")
+    return _test_metrics(models.gradient_boosting().fit(train), test, "gradient_boosting")
 
 
 @query("gbt_staged")
@@ -477,7 +483,7 @@ def q_mlp_fit(spark, sf):
 def q_model_report(spark, sf):
     train, test = _model_frames(spark, sf)
     dt = models.decision_tree(11, 50).fit(train)
-    gb = models.gradient_boosting(max_iter=10).fit(train)
+    gb = models.gradient_boosting().fit(train)
     return _test_metrics(dt, test, "base_decision_tree").unionByName(_test_metrics(gb, test, "gb_n_estimators"))
 
 
@@ -485,9 +491,9 @@ def q_model_report(spark, sf):
 def q_cv_scores(spark, sf):
     """Cross-validated accuracy / precision / recall (mean and population std)."""
     train, _ = _model_frames(spark, sf)
-    folded = split.stratified_folds(train, 5, seed=0, label="label").persist()
+    folded = materialize(split.stratified_folds(train.select("ID", "features", "label"), 10, seed=0, label="label"))
     rows = []
-    for k in range(5):
+    for k in range(10):
         m = models.decision_tree(11, 50).fit(folded.where(F.col("fold") != k))
         s = models.score(m, folded.where(F.col("fold") == k)).select(
             F.col("label").cast("int").alias("label"), "pred")
@@ -504,17 +510,17 @@ def q_cv_scores(spark, sf):
 
 @query("rf_submission")
 def q_rf_submission(spark, sf):
-    from .benchmark import run_benchmark
-    train, test = _train_test(_panel(spark, sf))
-    return run_benchmark(train, test.drop(TARGET), num_trees=100)[3]
+    train, test = _model_frames(spark, sf)
+    return benchmark.submission(train, test)
 
 
 @query("model_input")
 def q_model_input(spark, sf):
+    """Both sides, the test side imputed, told apart by ``side``."""
     from .processing import model_input
     train, test = _train_test(_panel(spark, sf))
-    tr, _, feats = model_input(train, test.drop(TARGET), impute=False)
-    return rounded(tr)
+    tr, te, feats = model_input(train, test.drop(TARGET))
+    return rounded(tr.withColumn("side", F.lit("train")).unionByName(te.withColumn("side", F.lit("test")), allowMissingColumns=True))
 
 
 @query("history_stats")

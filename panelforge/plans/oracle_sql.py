@@ -116,7 +116,7 @@ fd AS (SELECT DATE, CAST((row_number() OVER (ORDER BY md5(CAST(DATE AS VARCHAR)
 
 @oracle("lag_matrix")
 def _lag_matrix():
-    return with_panel(f"SELECT {_cols(PANEL_COLS)} FROM panel")
+    return with_panel("SELECT l_suppkey, seq, " + ", ".join(_r(c, c) for c in RET + VOL) + " FROM pf_lag")
 
 
 @oracle("one_day_return")
@@ -190,14 +190,16 @@ FROM (SELECT fold, avg(CAST(pred = RET AS DOUBLE)) AS accuracy FROM dm JOIN fd U
 
 @oracle("attach_target")
 def _attach_target():
-    return with_panel(f"SELECT {_cols(PANEL_COLS)} FROM panel")
+    return """
+SELECT l_orderkey, l_linenumber, round(l_quantity, 6) AS l_quantity, o_orderstatus
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""
 
 
 @oracle("sample_exact")
 def _sample_exact():
     return with_panel("""
 SELECT ID, DATE, round(RET_1, 6) AS RET_1, RET FROM panel
-ORDER BY md5(CAST(ID AS VARCHAR) || ':42'), ID LIMIT 1000""")
+ORDER BY md5(CAST(ID AS VARCHAR) || ':42'), ID LIMIT 500""")
 
 
 @oracle("drop_all_missing")
@@ -235,7 +237,9 @@ def _fill_zero():
 
 @oracle("inf_columns")
 def _inf_columns():
-    return with_panel(f"SELECT {_cols(PANEL_COLS[:-1])} FROM panel WHERE DATE % 2 = 1")
+    return with_panel(f"""
+SELECT {_cols(PANEL_COLS[:-1])}, round(VOLUME_3 / 2, 6) AS RATIO_3,
+       CASE WHEN DATE % 2 = 0 THEN 'train' ELSE 'test' END AS side FROM panel""")
 
 
 @oracle("left_join_chain")
@@ -272,6 +276,13 @@ def _hash_split():
     return with_panel(f"SELECT ID, CASE WHEN {_unit('ID', 0)} < 0.25 THEN 'test' ELSE 'train' END AS split FROM panel")
 
 
+@oracle("exact_split")
+def _exact_split():
+    return with_panel("""
+SELECT ID, CASE WHEN row_number() OVER (ORDER BY md5(CAST(ID AS VARCHAR) || ':42'), ID) <= ceil(0.2 * count(*) OVER ())
+                THEN 'test' ELSE 'train' END AS split FROM panel""")
+
+
 @oracle("date_folds")
 def _date_folds():
     return with_panel("SELECT ID, DATE, fold FROM panel JOIN fd USING (DATE)", FOLDS_CTE)
@@ -437,7 +448,10 @@ def _model_stats(src: str, p: str) -> tuple[str, str]:
 
 @oracle("confusion")
 def _confusion():
-    return with_panel("SELECT label, pred, count(*) AS n FROM scores GROUP BY label, pred")
+    return with_panel("""
+SELECT CAST(y AS INTEGER) AS label, CAST(p AS INTEGER) AS pred,
+       (SELECT count(*) FROM scores WHERE label = y AND pred = p) AS n
+FROM range(2) a(y), range(2) b(p)""")
 
 
 @oracle("binary_metrics")
@@ -469,7 +483,13 @@ def _roc_curve():
     return with_panel("""
 SELECT round(score, 6) AS threshold, CAST(cum_neg AS BIGINT) AS fps, CAST(cum_pos AS BIGINT) AS tps,
        round(cum_neg::DOUBLE / tot_neg, 6) AS fpr, round(cum_pos::DOUBLE / tot_pos, 6) AS tpr
-FROM sc_desc""", _grouped_ctes("scores", "sc"))
+FROM sc_desc
+UNION ALL SELECT 'inf'::DOUBLE, 0, 0, 0.0, 0.0""", _grouped_ctes("scores", "sc"))
+
+
+@oracle("roc_area")
+def _roc_area():
+    return with_panel(f"SELECT round({_auc('sc')}, 6) AS roc_area", _grouped_ctes("scores", "sc"))
 
 
 @oracle("avg_precision")

@@ -14,23 +14,26 @@ from ..functions import indicators as ind
 from ..operators import clean, groupstats
 from ..operators.impute import knn_impute
 from ..schema import ID_COLS, TARGET
+from ..session import materialize, no_constraint_propagation
 
 
 def model_input(train: DataFrame, test: DataFrame, n_days: int = 5, impute: bool = True):
     """Returns (train features + target, test features, feature names)."""
-    train = clean.drop_any_missing(clean.drop_all_missing(train, n_days))
-    train, test = groupstats.group_stats(train), groupstats.group_stats(test)
-    empty = ind.all_null_indicator_columns(train)   # decided on train, from series starts only
-    pos = {nm: range(1, 21) for nm in ind.INDICATORS}
-    train, test = ind.add_indicators(train, positions=pos), ind.add_indicators(test, positions=pos)
-    keep_id = [c for c in ID_COLS if c != "ID"]
-    train, test = clean.drop_id_cols(train, keep_id), clean.drop_id_cols(test, keep_id)
-    train, test = train.drop(*empty), test.drop(*empty)
-    train, test, _ = clean.prune_by_name(train, test, TARGET)
+    with no_constraint_propagation(train.sparkSession):
+        train = clean.drop_any_missing(clean.drop_all_missing(train, n_days))
+        train, test = materialize(groupstats.group_stats(train)), materialize(groupstats.group_stats(test))
+        empty = ind.all_null_indicator_columns(train)   # decided on train, from series starts only
+        pos = {nm: range(1, 21) for nm in ind.INDICATORS}
+        train, test = ind.add_indicators(train, positions=pos), ind.add_indicators(test, positions=pos)
+        keep_id = [c for c in ID_COLS if c != "ID"]
+        train, test = clean.drop_id_cols(train, keep_id), clean.drop_id_cols(test, keep_id)
+        train, test = train.drop(*empty), test.drop(*empty)
+        train, test, _ = clean.prune_by_name(train, test, TARGET)
+        # stored before the check for infinities, which else computes every feature once more;
+        # after the group statistics and indicators, train rows with gaps are dropped
+        train, test = materialize(clean.drop_any_missing(train)), materialize(test)
     train, test, feats = clean.filter_infinity(train, test, TARGET)
     feats = [f for f in feats if f != "ID"]
-    # after the group statistics and indicators, rows with gaps are dropped
-    train = clean.drop_any_missing(train)
     if impute:
         test = knn_impute(test, feats, key="ID")
     return train, test, feats

@@ -16,7 +16,6 @@ def vol_cols(n: int = N_LAGS) -> list[str]:
 # Fixed values that must equal the reference's.
 TARGET = "RET"
 ID_COLS = ["ID", "STOCK", "DATE", "INDUSTRY", "INDUSTRY_GROUP", "SECTOR", "SUB_INDUSTRY"]
-CAT_COLS = ["INDUSTRY", "INDUSTRY_GROUP", "SECTOR", "SUB_INDUSTRY", "STOCK", "DATE"]
 GROUP_LEVELS = ["INDUSTRY", "INDUSTRY_GROUP", "SECTOR", "SUB_INDUSTRY"]
 GROUP_SHIFTS = [1, 2, 3, 4, 5]
 GROUP_STATISTICS = ["median", "std"]
@@ -26,6 +25,7 @@ PRUNE_KEEP_PREFIXES = ("RET", "VOLUME")
 BENCHMARK_ACCURACY = 0.5131
 IMPORTANCE_THRESHOLD = 0.01
 KNN_NEIGHBORS = 5
+BENCH_FEATURES = [*ret_cols(5), *vol_cols(5), "RET_1_SECTOR_DATE_mean"]
 # End of fixed values.
 
 HISTORY_COLS = ret_cols() + vol_cols()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,8 +38,8 @@ def get_spark(app: str = "panelforge", master: str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only a local-mode
-    session without one gets a private scratch folder (tests)."""
+    """Use the cluster's shared ``spark.checkpoint.dir``; only a single-process
+    session without one gets a scratch folder, removed when the program ends (tests)."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
@@ -46,15 +48,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    path = tempfile.mkdtemp(prefix="panelforge-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(path)
-    return path
+    scratch = tempfile.TemporaryDirectory(prefix="panelforge-ckpt-", ignore_cleanup_errors=True)
+    _SCRATCH.append(scratch)
+    sc.setCheckpointDir(scratch.name)
+    return scratch.name
+
+
+#: Scratch folders of single-process sessions, kept until the program ends.
+_SCRATCH: list[tempfile.TemporaryDirectory] = []
+
+
+@contextmanager
+def no_constraint_propagation(spark: SparkSession) -> Iterator[None]:
+    """Catalyst's constraint propagation blows up (time and heap) on plans with very
+    many nullable columns; it is off inside and as it was afterwards."""
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder,
-    so a lost executor re-reads the stage instead of recomputing from raw."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store a stage as Parquet in the shared checkpoint folder and go on from the
+    stored copy: a lost executor re-reads it instead of recomputing from raw, and
+    later steps read only the columns they use."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -150,3 +150,62 @@ def test_io_roundtrip(spark):
     a = io.read_or_compute(spark, os.path.join(d, "stage.parquet"), compute)
     b = io.read_or_compute(spark, os.path.join(d, "stage.parquet"), compute)
     assert a.count() == b.count() == 3 and len(calls) == 1
+
+
+def test_group_median_collapses_ties_of_a_hot_group(spark):
+    df = spark.range(200000).selectExpr("'hot' AS k", "CAST(CASE WHEN id % 3 = 0 THEN 1 ELSE 2 END AS double) AS v").unionByName(
+        spark.createDataFrame([("even", 1.0), ("even", 4.0), ("nulls", None)], "k string, v double"))
+    got = {r["k"]: r["v_median"] for r in group_median(df, ["k"], ["v"]).collect()}
+    assert got == {"hot": 2.0, "even": 2.5, "nulls": None}
+    plan = group_median(df, ["k"], ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_null_label_is_a_class_of_its_own_in_folds(spark):
+    df = spark.createDataFrame([(1, 1), (2, 0), (3, None), (4, None)], "ID long, RET int")
+    assert sorted(r["fold"] for r in split.stratified_folds(df, 2).where("RET IS NULL").collect()) == [0, 1]
+
+
+def test_exact_split_counts(spark):
+    df = spark.range(100).withColumnRenamed("id", "ID")
+    parts = split.exact_split(df, 0.2, seed=42)
+    assert {r["split"]: r["count"] for r in parts.groupBy("split").count().collect()} == {"test": 20, "train": 80}
+    assert sorted(r["ID"] for r in parts.where("split = 'test'").collect()) == sorted(r["ID"] for r in split.exact_split(df.repartition(7), 0.2, seed=42).where("split = 'test'").collect())
+
+
+def test_metrics_of_one_class(spark):
+    from panelforge.operators import metrics
+    s = spark.createDataFrame([(1, 1, 0.7), (1, 0, 0.2)], "label int, pred int, proba double")
+    assert metrics.roc_auc(s).first()["roc_auc"] is None and metrics.roc_area(s).first()["roc_area"] is None
+    none = s.withColumn("label", F.lit(0))
+    assert metrics.avg_precision(none).first()["avg_precision"] is None
+    cells = {(r["label"], r["pred"]): r["n"] for r in metrics.confusion(s).collect()}
+    assert cells == {(0, 0): 0, (0, 1): 0, (1, 0): 1, (1, 1): 1}
+    first = metrics.roc_curve(s).orderBy(F.desc("threshold")).first()
+    assert first["threshold"] == float("inf") and first["fpr"] == first["tpr"] == 0
+
+
+def test_target_key_must_be_unique(spark):
+    x = spark.createDataFrame([(1, 2.0)], "ID long, a double")
+    with pytest.raises(ValueError):
+        clean.attach_target(x, spark.createDataFrame([(1, 0), (1, 1)], "ID long, RET int"))
+
+
+def test_knn_leaves_the_session_as_it_was_and_takes_any_key(spark):
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name, None)
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("b", 1.1, 4.0), ("c", 1.05, None)], "ID string, x double, y double")
+    got = {r["ID"]: r["y"] for r in knn_impute(df, ["x", "y"], k=2).collect()}
+    assert got["c"] == 3.0 and spark.conf.get(name, None) == before
+
+
+def test_indicator_reads_the_named_series_and_period(spark):
+    from panelforge.functions import indicators as ind
+    row = {f"RET_{k}": float(k) for k in range(1, 21)} | {f"VOLUME_{k}": float(100 * k) for k in range(1, 21)}
+    df = spark.createDataFrame([row])
+    out, names = ind.calculate_indicator(df, "SMA", [5], {"data_type": "vol", "timeperiod": 3})
+    got = out.first()
+    # positions run from the oldest day to the most recent one
+    assert math.isclose(got["SMA_10_5"], (1100 + 1200 + 1300) / 3) and "SMA_3_5" in names
+    with pytest.raises(ValueError):
+        ind.calculate_indicator(df, "SMA", [5], {"data_type": "price"})
