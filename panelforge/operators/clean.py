@@ -154,3 +154,34 @@ def dedup_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 def fill_zero(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.fillna(0, subset=list(cols) if cols else None)
+
+
+def drop_mostly_missing(df: DataFrame, share: float = 0.5, keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """Drop columns of which more than ``share`` is missing: one aggregate.  Returns
+    (frame, dropped names)."""
+    cols = [c for c in df.columns if c not in keep]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    gone = [c for i, c in enumerate(cols) if row["n"] and (row["n"] - row[f"c{i}"]) > share * row["n"]]
+    return df.drop(*gone), gone
+
+
+def drop_correlated(df: DataFrame, cols: Sequence[str], threshold: float = 0.95) -> tuple[DataFrame, list[str]]:
+    """Of each pair of columns with an absolute correlation above ``threshold`` (rows where
+    both are present) the later one goes, unless the earlier one has gone already.
+    The pairs come from one aggregate; returns (frame, dropped names)."""
+    cols = list(cols)
+    pairs = [(i, j) for j in range(len(cols)) for i in range(j)]
+    row = df.agg(*[F.abs(F.corr(cols[i], cols[j])).alias(f"r{i}_{j}") for i, j in pairs]).first() if pairs else {}
+    gone: list[str] = []
+    for i, j in pairs:
+        r = row[f"r{i}_{j}"]
+        if r is not None and r > threshold and cols[i] not in gone and cols[j] not in gone:
+            gone.append(cols[j])
+    return df.drop(*gone), gone
+
+
+def calendar_features(df: DataFrame, date_col: str) -> DataFrame:
+    """Day of week (0 = Monday), month, quarter and whether the day ends its month."""
+    d = F.col(date_col)
+    return df.withColumns({"day_of_week": F.weekday(d), "month_of_year": F.month(d), "quarter": F.quarter(d),
+                           "month_end": (F.to_date(d) == F.last_day(d)).cast("int")})

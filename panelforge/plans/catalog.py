@@ -175,6 +175,29 @@ def q_inf_columns(spark, sf):
     return rounded(both)
 
 
+@query("drop_mostly_missing")
+def q_drop_mostly_missing(spark, sf):
+    """The early lags of every supplier-month: the longest ones are mostly missing."""
+    p = series_of(spark, sf).where("seq <= 24")
+    lags = lag_matrix(p, "l_suppkey", "month", {"RET": "ret"})
+    out, _ = clean.drop_mostly_missing(lags.select("l_suppkey", "seq", *[f"RET_{k}" for k in range(1, 21)]))
+    return rounded(out.select("l_suppkey", "seq", *[F.col(c).cast("double") for c in out.columns if c.startswith("RET_")]))
+
+
+@query("drop_correlated")
+def q_drop_correlated(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"),
+                                             (F.col("l_quantity").cast("double") * 3 + F.col("l_linenumber")).alias("q3"),
+                                             F.col("l_discount").cast("double").alias("d"))
+    return rounded(clean.drop_correlated(li, ["q", "q3", "d"])[0])
+
+
+@query("calendar_features")
+def q_calendar_features(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return clean.calendar_features(li, "l_shipdate").drop("l_shipdate")
+
+
 @query("left_join_chain")
 def q_left_join_chain(spark, sf):
     li = table(spark, sf, "lineitem")

@@ -242,6 +242,29 @@ SELECT {_cols(PANEL_COLS[:-1])}, round(VOLUME_3 / 2, 6) AS RATIO_3,
        CASE WHEN DATE % 2 = 0 THEN 'train' ELSE 'test' END AS side FROM panel""")
 
 
+@oracle("drop_mostly_missing")
+def _drop_mostly_missing():
+    # RET_k of the first 24 months misses k of 24 values at least; kept while not more than half is missing
+    return with_panel("SELECT l_suppkey, seq, " + ", ".join(_r(f"RET_{k}", f"RET_{k}") for k in range(1, 12))
+                      + " FROM pf_lag WHERE seq <= 24")
+
+
+@oracle("drop_correlated")
+def _drop_correlated():
+    return """
+SELECT l_orderkey, l_linenumber, round(CAST(l_quantity AS DOUBLE), 6) AS q, round(CAST(l_discount AS DOUBLE), 6) AS d
+FROM lineitem"""
+
+
+@oracle("calendar_features")
+def _calendar_features():
+    return """
+SELECT l_orderkey, l_linenumber, CAST(isodow(l_shipdate) - 1 AS INTEGER) AS day_of_week,
+       CAST(month(l_shipdate) AS INTEGER) AS month_of_year, CAST(quarter(l_shipdate) AS INTEGER) AS quarter,
+       CAST(CAST(l_shipdate AS DATE) = last_day(l_shipdate) AS INTEGER) AS month_end
+FROM lineitem"""
+
+
 @oracle("left_join_chain")
 def _left_join_chain():
     cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
