@@ -1,7 +1,7 @@
 """The queries of this subpackage, one for each operator, and their SQL where there is one."""
 
 from .bpe_automaton import op10_bpe_automaton
-from .embedding_dedup import op4_embedding_dedup
+from .embedding_dedup import OP4_SQL, op4_embedding_dedup
 from .html_wrapper import op7_html_extract
 from .langid import op6_language_id
 from .licenses import op5_license_scan
@@ -12,4 +12,4 @@ from .syncmers import op2_syncmers
 from .toxicity import op1_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_syncmers, op3_ngram_join, op4_embedding_dedup, op5_license_scan, op6_language_id, op7_html_extract, op8_packing, op9_secret_scan, op10_bpe_automaton)}
-ORACLES = {"op3_ngram_join": OP3_SQL}
+ORACLES = {"op3_ngram_join": OP3_SQL, "op4_embedding_dedup": OP4_SQL}
