@@ -7,15 +7,16 @@ compared once.  The links are found in steps that each drop only what cannot lin
 1. *Everything else as one group.*  A set that links with another lacks at most a
    fixed share of its tokens there.  A fixed fraction of the token space is
    counted: a set too many of whose counted tokens occur nowhere else is done.
-2. *Groups of similar sets.*  Sets that agree in one of several min-hashes are
-   compared with the smallest set of that agreement; links make groups (components).
-3. *Token-group matrix.*  The union of the tokens of each group is stored as rows
-   (token, group) for tokens that occur in more than one group.  A set's overlap
-   with a group's union bounds its overlap with each member.  Only (set, group)
-   pairs whose bound reaches the threshold are opened, through the rarest tokens
-   first, and there the members are compared exactly.
-
-A set needs no comparison within its own group: it is connected already.
+2. *Components of similar sets.*  Sets that agree in one of several min-hashes are
+   compared with the smallest set of that agreement; links make components.
+3. *Token-group matrix.*  What is left is cut into groups of similar sets, whatever
+   their component, and the union of the tokens of each group is stored as rows
+   (token, group).  A set's overlap with a group's union bounds its overlap with
+   each member.  Only (set, group) pairs whose bound can reach the threshold, looked
+   up through the rarest tokens first, are opened, and there the set is compared
+   with the members exactly.
+
+Sets of one component need no comparison with each other: they are connected.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded, store, table
+from .common import bounded, if_small, store, table
 from .components import components
 
 WORDS = 5
 PERCENT = 75
 HASHES = 8  # min-hashes that propose groups
+GROUP = 256  # sets in a group of the matrix
 COUNTED = 0.3  # fraction of the token space counted in step 1
 
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -172,26 +174,30 @@ def shared_tokens(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(sig, n, tokens, mins): the sorted counted and other tokens as bytes, and the min-hashes."""
+    """(sig, n, counted, tokens, mins): the sorted tokens as bytes, and the min-hashes."""
     def run(batches):
         for part, sets in _texts(batches):
             mins = [[int(mix(s * SEEDS[32 + k] + SEEDS[48 + k]).min().view(np.int64)) for k in range(HASHES)] if len(s) else [] for s in sets]
-            yield pa.record_batch([pa.array([signature(s) for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int64()),
-                                   pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(mins, pa.list_(pa.int64()))], names=["sig", "n", "tokens", "mins"])
+            yield pa.record_batch([pa.array([signature(s) for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(np.searchsorted(s, LIMIT)) for s in sets], pa.int64()),
+                                   pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(mins, pa.list_(pa.int64()))], names=["sig", "n", "counted", "tokens", "mins"])
 
-    return docs.select("key", "text").mapInArrow(run, "sig string, n long, tokens binary, mins array<long>")
+    return docs.select("key", "text").mapInArrow(run, "sig string, n long, counted long, tokens binary, mins array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of signatures whose sets link."""
+    """The pairs (a, b) of set numbers whose sets link.  ``b`` should be the side with
+    few different sets: the others travel to it once."""
     def run(batches):
         for batch in batches:
-            sides = [[np.frombuffer(x.as_py(), np.uint64) for x in batch.column(i)] for i in (2, 3)]
-            yield batch.select([0, 1]).filter(pa.array([alike(x, y) for x, y in zip(*sides)], pa.bool_()))
+            for part in bounded(batch):
+                sides = [[np.frombuffer(x.as_py(), np.uint64) for x in part.column(i)] for i in (2, 3)]
+                yield part.select([0, 1]).filter(pa.array([alike(x, y) for x, y in zip(*sides)], pa.bool_()))
 
-    one = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x"))
-    two = sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y"))
-    return pairs.select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
+    pairs = store(pairs.select("a", "b").distinct(), "pairs")
+    some = store(pairs.select("b").distinct(), "pairs-b")
+    one = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")).join(if_small(pairs, 24), "a")
+    two = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")).join(if_small(some, 16), "b", "left_semi")
+    return store(one.join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
 
 
 def near_sizes(n: str, m: str):
@@ -199,11 +205,35 @@ def near_sizes(n: str, m: str):
 
 
 def proposed(sets: DataFrame) -> DataFrame:
-    """Pairs of each set with the least set that agrees with it in a min-hash."""
-    keys = sets.select("sig", "n", F.posexplode("mins").alias("k", "m"))
-    least = keys.groupBy("k", "m").agg(F.min(F.struct("sig", "n")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    met = keys.join(least, ["k", "m"]).select(F.col("sig").alias("a"), F.col("l.sig").alias("b"), "n", F.col("l.n").alias("n2"))
-    return met.where("a <> b").where(near_sizes("n", "n2")).select("a", "b").distinct()
+    """(a, b, agree): each set with the least set of its agreement in a min-hash, and in how many."""
+    keys = sets.select("id", "n", F.posexplode("mins").alias("k", "m"))
+    least = keys.groupBy("k", "m").agg(F.min(F.struct("id", "n")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = keys.join(least, ["k", "m"]).select(F.col("id").alias("a"), F.col("l.id").alias("b"), "n", F.col("l.n").alias("n2"))
+    return met.where("a <> b").where(near_sizes("n", "n2")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("agree"))
+
+
+def grouped(sets: DataFrame) -> DataFrame:
+    """Components from the links found through min-hashes.  Each set is first
+    compared with the proposal that it agrees with most, then with those that are
+    still in another group."""
+    met = store(proposed(sets), "proposed")
+    first = Window.partitionBy("a").orderBy(F.desc("agree"), "b")
+    best = met.withColumn("r", F.row_number().over(first))
+    links = verified(best.where("r = 1"), sets)
+    groups = store(components(links), "groups")
+    named = if_small(groups, 24)
+    for side in ("a", "b"):
+        best = best.join(named.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
+    apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
+    return merged(groups, verified(best.where((F.col("r") > 1) & (F.col("agree") > HASHES // 4) & apart), sets))
+
+
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: the old ones stand in as stars."""
+    if not links.limit(1).count():
+        return groups
+    stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return store(components(stars.unionByName(links)), "groups")
 
 
 def needed(n: str, counted: str):
@@ -211,51 +241,105 @@ def needed(n: str, counted: str):
     return F.col(counted) - F.floor(F.col(n) * (100 - PERCENT) / 100)
 
 
-def token_rows(sets: DataFrame) -> DataFrame:
-    """(sig, n, grp, token) for each token of each row of ``sets`` (sig, n, grp, tokens)."""
+def token_rows(sets: DataFrame, counted: bool) -> DataFrame:
+    """(id, grp, need, token) for each token, or each counted one, of each row of ``sets`` (id, grp, need, tokens)."""
     def run(batches):
         for batch in batches:
             for part in bounded(batch, 2 << 20):
-                size = np.array([len(x.as_py()) // 8 for x in part.column(3)])
-                at = pa.array(np.repeat(np.arange(part.num_rows), size))
-                token = np.frombuffer(b"".join(part.column(3).to_pylist()), np.int64)
-                yield pa.record_batch([*(c.take(at) for c in part.columns[:3]), pa.array(token)], names=["sig", "n", "grp", "token"])
-
-    return sets.select("sig", "n", "grp", "tokens").mapInArrow(run, "sig string, n long, grp string, token long")
-
-
-def opened(sets: DataFrame, groups: DataFrame) -> DataFrame | None:
-    """Pairs (a, b) of sets in different groups that the token-group matrix leaves to
-    compare; None if there are none.
-
-    The matrix holds the tokens that occur in two groups at least.  Sets too few of
-    whose tokens do are dropped together with their tokens until none is left to
-    drop, so what is joined in the end are sets that some other groups cover."""
-    spread = sets.join(groups, F.col("sig") == F.col("node"), "left").select("sig", "n", F.coalesce("component", "sig").alias("grp"), "tokens")
-    rows, before = token_rows(spread), None
+                tokens = [np.frombuffer(x.as_py(), np.uint64) for x in part.column(3)]
+                tokens = [t[:np.searchsorted(t, LIMIT)] for t in tokens] if counted else tokens
+                at = pa.array(np.repeat(np.arange(part.num_rows), [len(t) for t in tokens]))
+                yield pa.record_batch([*(c.take(at) for c in part.columns[:3]), pa.array(np.concatenate(tokens).view(np.int64))], names=["id", "grp", "need", "token"])
+
+    return sets.select("id", "grp", "need", "tokens").mapInArrow(run, "id long, grp long, need long, token long")
+
+
+def covered(spread: DataFrame, counted: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, grp, token) of the tokens that occur in two groups at least, and the
+    sets (id) enough of whose tokens do."""
+    need = needed("n", "counted") if counted else F.ceil(F.col("n") * PERCENT / 100)
+    spread = spread.withColumn("need", need.cast("long"))
+    rows = token_rows(spread, counted)
+    cross = store(rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token"), "cross")
+    rows = store(rows.join(if_small(cross, 16), "token"), "matrix")
+    held = rows.where("need > 0").groupBy("id", "need").agg(F.count(F.lit(1)).alias("hits")).where("hits >= need").select("id")
+    return rows, store(held.unionByName(spread.where("need <= 0").select("id")), "covered")
+
+
+def _open(queries: pa.Table, members: pa.Table) -> pa.Table:
+    """Links between queries and the members of one group; one for each query and
+    component that it meets."""
+    found: list[tuple[int, int]] = []
+    if queries.num_rows and members.num_rows:
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in members.column("tokens2")]
+        sizes = np.array([len(x) for x in sets])
+        token, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(token, kind="stable")
+        token, of = token[order], of[order]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        union, last = token[first], np.concatenate([first[1:], [len(token)]])
+        ids, grps = members.column("id2").to_numpy(), members.column("grp2").to_numpy()
+        for a, grp, raw in zip(queries.column("id").to_pylist(), queries.column("grp").to_pylist(), queries.column("tokens")):
+            q = np.frombuffer(raw.as_py(), np.uint64)
+            at = np.minimum(np.searchsorted(union, q), len(union) - 1)
+            at = at[union[at] == q]
+            if 100 * len(at) < PERCENT * len(q):  # the bound: no member can link
+                continue
+            count = last[at] - first[at]
+            where = np.repeat(first[at] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            both = np.bincount(of[where], minlength=len(sets))
+            hit = np.flatnonzero((100 * both >= PERCENT * (len(q) + sizes - both)) & (grps != grp))  # in either order of rank
+            _, one = np.unique(grps[hit], return_index=True)
+            found += [(a, int(ids[i])) for i in hit[one]]
+    return pa.table([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+
+def opened(sets: DataFrame, components_: DataFrame) -> DataFrame | None:
+    """The links (a, b) between sets of different components, through the token-group
+    matrix; None if there can be none.
+
+    Only tokens that occur in two components at least matter.  Sets too few of whose
+    tokens do are dropped together with their tokens, first by the counted tokens and
+    then by all, until few more go.  The sets left are put in order of their
+    min-hashes and cut into groups of ``GROUP``; the matrix holds the union of each
+    group.  A set looks up its rarest tokens, so many that a group with a partner must
+    show at least some of them; each group that does is opened with the set."""
+    spread = sets.join(if_small(components_, 24), F.col("id") == F.col("node"), "left").select("id", "n", "counted", F.coalesce("component", "id").alias("grp"), "tokens", "mins")
+    counted, before = True, None
     while True:
-        cross = rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
-        rows = store(rows.join(cross, "token"), "matrix")
-        held = rows.groupBy("sig", "n").agg(F.count(F.lit(1)).alias("hits")).where(100 * F.col("hits") >= PERCENT * F.col("n"))
-        rows = store(rows.join(held.select("sig"), "sig"), "matrix")
-        now = rows.count()
+        rows, held = covered(spread, counted)
+        now = held.count()
         if not now:
             return None
-        if before is not None and now > 0.9 * before:
+        spread = spread.join(if_small(held, 16), "id", "left_semi")
+        if not counted and before is not None and now > 0.9 * before:
             break
-        before = now
-    matrix = store(rows.select("token", "grp").distinct(), "unions")
-    weight = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("g"))
-    ranked = rows.join(weight, "token")
-    # Tokens that no other group holds come first in a set's order and meet nothing,
-    # so of those left, rarest first, this many must be looked up.
-    left = ranked.withColumn("have", F.count(F.lit(1)).over(Window.partitionBy("sig"))).withColumn("r", F.row_number().over(Window.partitionBy("sig").orderBy("g", "token")))
-    prefix = left.where(F.col("r") <= F.col("have") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("sig", "n", F.col("grp").alias("own"), "token")
-    met = prefix.join(matrix, "token").where("own <> grp").select("sig", "n", "grp").distinct()
-    bound = met.join(rows.select("sig", "token"), "sig").join(matrix, ["grp", "token"]).groupBy("sig", "n", "grp").agg(F.count(F.lit(1)).alias("hits"))
-    open_ = bound.where(100 * F.col("hits") >= PERCENT * F.col("n")).select(F.col("sig").alias("a"), F.col("n").alias("n1"), "grp")
-    members = rows.select(F.col("sig").alias("b"), F.col("n").alias("n2"), "grp").distinct()
-    return open_.join(members, "grp").where(near_sizes("n1", "n2")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        before, counted = (now if not counted else None), False
+    by = [F.get("mins", F.lit(k)) for k in range(2)]
+    near = spread.select("id", "n", "grp", "tokens", by[0].alias("m0"), by[1].alias("m1")).repartitionByRange("m0", "m1", "id").sortWithinPartitions("m0", "m1", "id")
+    members = store(near.withColumn("block", F.floor(F.monotonically_increasing_id() / GROUP)).drop("m0", "m1"), "groups")
+    # Of two components the smaller one asks: a set of a large one meets only still larger ones.
+    sizes = store(members.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    place = store(members.join(if_small(sizes, 24), "grp").select("id", "n", "block", F.struct("size", "grp").alias("rank")), "places")
+    rows = store(rows.join(if_small(place, 48), "id").select("id", "n", "block", "rank", "token"), "matrix")
+    matrix = store(rows.groupBy("token", "block").agg(F.max("rank").alias("top")), "unions")
+    weight = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.max("top").alias("highest"))
+    mine = Window.partitionBy("id")
+    some = F.greatest(F.lit(1), F.floor(F.col("n") / 10))
+    # Tokens that no other component holds would come first in a set's order and meet
+    # nothing; of those left, a partner lacks have - 75 % of n at most.
+    ranked = rows.join(weight, "token").withColumn("have", F.count(F.lit(1)).over(mine)).withColumn("r", F.row_number().over(mine.orderBy("g", "token")))
+    prefix = ranked.where((F.col("r") <= F.col("have") - F.ceil(F.col("n") * PERCENT / 100) + some) & (F.col("highest") > F.col("rank"))).select("id", "n", "rank", "token")
+    span = place.groupBy("block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    met = prefix.join(matrix, "token").where("top > rank").groupBy("id", "n", "block").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= some)
+    met = met.join(if_small(store(span, "spans"), 32), "block").where((100 * F.col("n") >= PERCENT * F.col("lo")) & (100 * F.col("hi") >= PERCENT * F.col("n")))
+    met = store(met.select("id", "block"), "met")
+    salts = store(met.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / 512).cast("int").alias("salts")), "salts")
+    asked = met.join(if_small(salts, 16), "block").select("id", "block", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+    asked = store(asked, "asked")
+    queries = members.select("id", "grp", "tokens").join(if_small(asked, 32), "id").select("block", "salt", "id", "grp", "tokens")
+    held = members.select("block", "id", "grp", "tokens").join(if_small(salts, 16), "block").select("block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "id", "grp", "tokens").select(*[F.col(c).alias(f"{c}2") for c in ("block", "salt", "id", "grp", "tokens")])
+    return queries.groupBy("block", "salt").cogroup(held.groupBy("block2", "salt2")).applyInArrow(_open, "a long, b long")
 
 
 def join_components(docs: DataFrame) -> DataFrame:
@@ -269,18 +353,21 @@ def join_components(docs: DataFrame) -> DataFrame:
     hits = shared_tokens(docs)
     alive = classes.join(hits, F.col("rep") == F.col("key"), "left").where(F.coalesce("hits", F.lit(0)) >= needed("n", "counted")).select("sig", F.col("rep").alias("key"))
     alive = store(alive, "alive")
-    texts = docs.join(alive.select("key"), "key", "left_semi")
+    texts = docs.join(if_small(alive.select("key").distinct(), 16), "key", "left_semi")
     # A key that stands on several texts gives sets of other classes too; they are left to their own.
-    sets = sets_of(texts).join(alive.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
-    sets = store(sets, "sets")
-    links = store(verified(proposed(sets), sets), "links")
-    groups = components(links)
+    sets = sets_of(texts).join(if_small(alive.select("sig", F.col("key").alias("rep")), 64), "sig")
+    if texts.select("key").count() > alive.count():  # only repeated keys can give a set twice
+        sets = sets.dropDuplicates(["sig"])
+    sets = store(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+    groups = grouped(sets)
     more = opened(sets, groups)
     if more is not None:
-        groups = components(links.unionByName(verified(more, sets)))
-    least = groups.join(classes.select(F.col("sig").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
-    named = classes.join(groups, F.col("sig") == F.col("node"), "left").join(least, "component", "left").select("sig", F.coalesce("least", "rep").alias("least"))
-    return known.join(named, "sig", "left").select("key", F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("least", "key")).alias("component_id"))
+        groups = merged(groups, store(more, "opened"))
+    named = store(sets.select("id", "sig", "rep").join(if_small(groups, 24), F.col("node") == F.col("id")).select("sig", "component", "rep"), "named")
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    named = store(named.join(least, "component").select("sig", "least"), "least")
+    out = known.join(classes.select("sig", "rep"), "sig", "left").join(if_small(named, 64), "sig", "left")
+    return out.select("key", F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("least", "rep", "key")).alias("component_id"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
