@@ -30,7 +30,7 @@ SMOOTHING = 0.05
 LETTERS = regex.compile(r"\p{L}{1,%d}" % LONGEST_WORD).findall
 HEAD = "▁"
 MULTIPLIER = np.uint64(0x100000001B3)
-MEMO = 300_000  # entries of a worker's memo; results do not depend on it
+MEMO = 100_000  # entries of a worker's memo; results do not depend on it
 SCHEMA = "key long, lang_pred string, score double"
 
 
