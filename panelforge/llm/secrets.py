@@ -1,11 +1,13 @@
 """Secret scan: fixed patterns, and zstandard novelty for what they miss.
 
-A candidate is a long unbroken run of key characters with letters and digits,
-near a word that announces something secret.  Its novelty is the number of bytes
+A candidate is a long unbroken run of key characters with letters, announced as
+secret: by a word before it, a word in its block (the lines between blank ones) or
+the heading of that, or by a reported run that it adjoins.  Its novelty is the number of bytes
 that it adds to the compressed text around it, the compressor being primed with
 a dictionary of public identifiers, per character.  Names and code that the
 dictionary or the surroundings hold compress away; random strings do not and
-are reported.
+are reported.  Ordinary long words compress little as well, so a run without a digit
+must add more.  The lines of a PEM private key are reported whatever they add.
 """
 
 from __future__ import annotations
@@ -35,7 +37,17 @@ OPENINGS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ANNOUNCED = re.compile(r"passw|pwd|secret|token|api|key|credential|auth|bearer|private|signature|access|login", re.I | re.A)
 BEFORE, AROUND = 48, 256  # characters searched for an announcing word, and compressed as surroundings
-NOVELTY = 0.75  # bytes a character
+NOVELTY, NOVELTY_LETTERS = 0.75, 0.9  # bytes a character; the second for runs without a digit
+#: As a block may be long, its announcing words must stand by themselves there.
+WORD = re.compile(r"(?<![A-Za-z])(?:pass(?:word|wd|phrase)s?|pwd|secrets?|tokens?|api_?keys?|api|keys?|credentials?|auth(?:orization)?|bearer|private|signatures?|access|logins?)(?![A-Za-z])", re.I)
+BLANK = re.compile(r"\n(?:[^\S\n]*\n)+")
+HEADING = 80  # characters up to which a line by itself heads the next block
+#: What may stand between two adjoining runs: a line break, also a written-out one, or a mark.
+BETWEEN = re.compile(r"[.:,\"'\\]*(?:\r?\n[^\S\n]*)?[.:,\"'\\]*")
+PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+PEM_GAP = r"(?:\s|\\+[nrt]|[\"',])*"
+PEM_PART = re.compile(PEM_GAP + r"(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID): [^\n\\]*|([A-Za-z0-9+/=]+))")
+PEM_END = re.compile(PEM_GAP + "-----END ")
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 
@@ -76,6 +88,43 @@ def novelty() -> Novelty:
     return Novelty(identifiers())
 
 
+def pem_parts(text: str) -> list[tuple[int, int]]:
+    """The runs in the bodies of PEM private keys.  Of a body that has no end mark only
+    the leading long runs count, and a short one if the text ends with it."""
+    found: list[tuple[int, int]] = []
+    for head in PEM.finditer(text) if "PRIVATE KEY" in text else ():
+        at, parts = head.end(), []
+        while part := PEM_PART.match(text, at):
+            at = part.end()
+            if part.group(1):
+                parts.append(part.span(1))
+        if not PEM_END.match(text, at):
+            n = next((i for i, (a, b) in enumerate(parts) if b - a < 16), len(parts))
+            parts = parts[:n + 1] if parts[n:] and parts[n][1] == len(text.rstrip()) else parts[:n]
+        found += [(a, b) for a, b in parts if any(c.isalnum() for c in text[a:b])]
+    return found
+
+
+def announced_blocks(text: str) -> list[tuple[int, bool]]:
+    """(end, whether it is announced) of each block, by a word in it, in the heading
+    just above it, or in the last line above it that begins with ``#``."""
+    out, start, lead, section = [], 0, "", False
+    for end, after in [*(m.span() for m in BLANK.finditer(text)), (len(text), len(text))]:
+        marked = re.findall(r"(?m)^#.*", text[start:end])
+        section = bool(WORD.search(marked[-1])) if marked else section
+        out.append((end, section or bool(WORD.search(lead) or WORD.search(text, start, end))))
+        last = text[max(text.rfind("\n", start, end) + 1, start):end].strip()
+        alone = "\n" not in text[start:end].strip() and len(last) <= HEADING
+        lead, start = last if alone or last.endswith(":") else "", after
+    return out
+
+
+def others_out(around: str) -> str:
+    """Surroundings without other runs like keys: random characters there would make
+    the compressor code all random characters shorter, and a copy of the key hide it."""
+    return RUN.sub(lambda m: " " if any(c.isdigit() for c in m.group()) else m.group(), around)
+
+
 def spans_of(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, by start and then kind."""
     found = []
@@ -85,16 +134,31 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
         found += [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text)]
+    carrying = {b for _, _, b in found}  # ends of what is reported as secret, for adjoining runs
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     taken = [(a, b) for _, a, b in found]
+    body = pem_parts(text)
+    found += [("novel", a, b) for a, b in body]
+    taken += body
+    blocks, k, until = None, 0, -1
     for m in RUN.finditer(text):
         run, (a, b) = m.group(), m.span()
-        if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+        adjoins, until = until >= 0 and BETWEEN.fullmatch(text, until, a), -1
+        if any(x < b and a < y for x, y in taken):
+            until = b if b in carrying else -1
             continue
-        if any(x < b and a < y for x, y in taken) or not ANNOUNCED.search(text, max(0, a - BEFORE), a):
+        if not any(c.isalpha() for c in run):
             continue
-        if novelty()(text[max(0, a - AROUND):a], run, text[b:b + AROUND]) >= NOVELTY:
+        if not adjoins and not ANNOUNCED.search(text, max(0, a - BEFORE), a):
+            blocks = announced_blocks(text) if blocks is None else blocks
+            while blocks[k][0] < a:
+                k += 1
+            if not blocks[k][1]:
+                continue
+        least = NOVELTY if any(c.isdigit() for c in run) else NOVELTY_LETTERS
+        if novelty()(others_out(text[max(0, a - AROUND):a]), run, others_out(text[b:b + AROUND])) >= least:
             found.append(("novel", a, b))
+            until = b
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
