@@ -56,15 +56,28 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays, and of
-    rows that share a doc_id one.  Rows without a doc_id stay."""
-    joined = store(ngram_join.join_components(ngram_join.keyed(docs)), "components")
-    named = joined.where("key IS NOT NULL").groupBy(F.col("key").alias("doc_id")).agg(F.max(F.col("key") == F.col("component_id")).alias("first"), F.count(F.lit(1)).alias("n"))
-    gone = store(named.where(~F.col("first")).select("doc_id"), "dropped")
-    kept = docs.join(if_small(gone, 16), "doc_id", "left_anti").select(*docs.columns)
-    if named.where("n > 1").limit(1).count():
-        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
-    return kept
+    """Of each group of linked texts the row with the smallest doc_id stays, of several
+    with that doc_id the one of the least hash, and of rows of one doc_id and text one.
+    Rows that share a doc_id only are not linked.  Rows without a doc_id stay."""
+    key = F.col("doc_id").cast("long")
+    if not docs.where(key.isNotNull()).groupBy(key).count().where("count > 1").limit(1).count():
+        joined = store(ngram_join.join_components(ngram_join.keyed(docs)), "components")
+        gone = store(joined.where("key <> component_id").select(F.col("key").alias("doc_id")), "dropped")
+        return docs.join(if_small(gone, 16), "doc_id", "left_anti").select(*docs.columns)
+    # A doc_id stands on several rows: each (doc_id, text) is joined under a key of its own.
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    marked = docs.withColumn("_row", F.when(key.isNotNull(), F.xxhash64(key, text)))
+    named = marked.where("_row IS NOT NULL").select(F.col("_row").alias("key"), text.alias("text"), key.alias("doc_id"))
+    joined = ngram_join.join_components(named.select("key", "text")).select("key", "component_id").distinct()
+    counted = named.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    joined = store(joined.join(counted, "key"), "components")
+    first = joined.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("least")).select(F.col("least.key").alias("key"))
+    gone = store(joined.join(first, "key", "left_anti").select(F.col("key").alias("_row")), "dropped")
+    again = store(joined.where("n > 1").select(F.col("key").alias("_row")), "repeated")
+    kept = marked.join(if_small(gone, 16), "_row", "left_anti")
+    whole = F.struct(*docs.columns)
+    one = kept.join(if_small(again, 16), "_row", "left_semi").groupBy("_row").agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("r")).select("r.*")
+    return kept.join(if_small(again, 16), "_row", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

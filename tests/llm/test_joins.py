@@ -191,6 +191,25 @@ def test_pipeline_equals_its_parts(spark, tmp_path):
     assert {r["doc_id"] for r in five.select("doc_id").collect()} == {r["doc_id"] for r in four.select("doc_id").collect()}
 
 
+def test_rows_that_share_a_doc_id_are_not_linked_by_it(spark):
+    """The near copy under a repeated id goes, whatever the order; the unique texts stay."""
+    import corpus_pipeline
+
+    base, other, third = long_text(41, 80), long_text(42, 50), long_text(43, 50)
+    rows = [(3, base, "s"), (7, base + " tail", "s"), (7, other, "s"), (7, other, "t"), (7, third, "s"), (9, third + " end", "s"), (9, None, "s"), (9, long_text(44, 30), "s"),
+            (2, base.upper() + " x", "s"), (2, base.upper(), "s"), (None, base, "s"), (None, base, "s"), (11, "", "s"), (12, None, "s")]
+    want = {(7, other), (7, third), (9, None), (9, long_text(44, 30)), (None, base), (11, ""), (12, None)}
+    seen = set()
+    for order in (rows, rows[::-1], rows[5:] + rows[:5]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, key string").repartition(3, "text")
+        got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+        seen.add(frozenset(map(tuple, got)))
+        texts = [(r["doc_id"], r["text"]) for r in got]
+        assert want <= set(texts) and len(texts) == len(want) + 2 and texts.count((None, base)) == 2
+        assert [t for k, t in texts if k == 2] in ([base.upper()], [base.upper() + " x"]) and not any(k == 3 for k, _ in texts)
+    assert len(seen) == 1
+
+
 def test_pipeline_takes_awkward_rows(spark, awkward, empty, tmp_path):
     import corpus_pipeline
 
