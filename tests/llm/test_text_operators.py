@@ -341,6 +341,18 @@ def test_op5_unknown_licence(spark, awkward, tmp_path):
     assert licenses.op5_license_scan(spark, write(awkward, tmp_path / "b", "documents")).count() == awkward.count()
 
 
+def test_op5_notices_without_anchor_words_and_in_long_lines(spark, tmp_path):
+    from conftest import long_text
+
+    fill = long_text(5, 150)
+    rows = [(i, f"filler line number {i} of the text, {long_text(i, 8)}") for i in range(60)] + [(200 + i, f"the licence of driver {i} was lost on the way home, and a copyright lawyer came") for i in range(40)]
+    rows += [(100, "Available under CC BY-SA 4.0"), (101, "CC0 1.0 Universal"), (102, f"{fill} Licensed under the MIT License. {fill} Licensed under CC BY-NC 4.0. {fill}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.op5_license_scan(spark, write(docs, tmp_path, "documents")).collect()}
+    assert [got[k]["families"] for k in (100, 101, 102)] == ["cc-by-sa-4.0", "public-domain", "cc-by-nc-4.0,mit"]
+    assert got[102]["n_candidates"] == got[102]["n_confirmed"] == 1 and all(got[k]["families"] == "" for k, _ in rows if k < 100 or k >= 200)
+
+
 # ---- 7 html ----------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body><header class="site">Site name</header><nav><a href="/">Home {i}</a></nav>
