@@ -20,10 +20,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import INDICATOR_PERIOD_LABELS, N_LAGS
+from ..session import materialize
 
 # Near-zero test used for RSI / CMO denominators (fixed value).
 ZERO_TOL = 1e-8
@@ -216,10 +219,18 @@ def indicator_names(names: Sequence[str] | None = None, labels: Sequence[int] =
     return out
 
 
+def filled_history(prefix: str, n: int = N_LAGS) -> Column:
+    """``ffill(history(prefix))`` as one ``coalesce`` a position, which stays in generated code."""
+    def last(k: int) -> Column:
+        return F.coalesce(*[F.col(f"{prefix}_{j}").cast("double") for j in range(k, n + 1)])
+
+    return F.array(*[last(k) for k in range(n, 0, -1)])
+
+
 def with_filled_history(df: DataFrame, n: int = N_LAGS) -> DataFrame:
     """Add forward-filled histories ``__x`` (returns), ``__v`` (volumes) and the
     first valid positions ``__bx``, ``__bv``, ``__bxv`` (both present)."""
-    f = df.withColumns({"__x": ffill(history("RET", n)), "__v": ffill(history("VOLUME", n))})
+    f = df.withColumns({"__x": filled_history("RET", n), "__v": filled_history("VOLUME", n)})
     return f.withColumns({
         "__bx": first_valid(F.col("__x")),
         "__bv": first_valid(F.col("__v")),
@@ -274,6 +285,16 @@ def add_indicators(df: DataFrame, names: Sequence[str] | None = None,
     return f.select(*base_cols, *out_cols, *keep)
 
 
+def add_named_indicators(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The frame and the indicator columns ``{NAME}_{position}_{label}`` asked for, in
+    their order; nothing else is computed."""
+    parsed = [c.rsplit("_", 2) for c in columns]
+    names = [nm for nm in INDICATORS if any(p[0] == nm for p in parsed)]
+    positions = {nm: sorted({int(p[1]) for p in parsed if p[0] == nm}) for nm in names}
+    labels = sorted({int(p[2]) for p in parsed})
+    return add_indicators(df, names, labels, positions=positions).select(*df.columns, *columns) if names else df
+
+
 def calculate_indicator(df: DataFrame, name: str, periods: Sequence[int] = INDICATOR_PERIOD_LABELS,
                         ta_args: dict | None = None) -> tuple[DataFrame, list[str]]:
     """Append one registered indicator on the series that ``ta_args["data_type"]``
@@ -287,6 +308,51 @@ def calculate_indicator(df: DataFrame, name: str, periods: Sequence[int] = INDIC
     return out, [c for c in out.columns if c not in df.columns]
 
 
+def add_user_indicator(df: DataFrame, name: str, fn: Callable, ta_args: dict | None = None,
+                       periods: Sequence[int] = INDICATOR_PERIOD_LABELS, remove_nan: bool = True,
+                       n: int = N_LAGS) -> tuple[DataFrame, list[str]]:
+    """Append a user's own indicator as ``{name}_{position}_{period}``.
+
+    ``fn`` gets the forward-filled histories of many rows at once, oldest first, as
+    (rows x n) arrays with NaN before the first value: one array for the series that
+    ``ta_args["data_type"]`` names, two for ``both``; further entries of ``ta_args`` are
+    keyword arguments.  It returns one such array, which is forward-filled in its turn.
+    Batches go to Python as Arrow columns; rows are not moved.  Positions that are missing in
+    every row are left out with ``remove_nan`` (one aggregate).  Returns the frame and
+    the new names."""
+    asked = dict(ta_args or {})
+    kind = _known_series(asked.pop("data_type", None))
+
+    def matrix(column: pd.Series) -> np.ndarray:
+        return np.array([[np.nan if v is None else v for v in row] for row in column], float).reshape(len(column), n)
+
+    def filled(a: np.ndarray) -> np.ndarray:
+        at = np.maximum.accumulate(np.where(np.isnan(a), 0, np.arange(n)), axis=1)
+        return np.take_along_axis(a, at, axis=1)
+
+    def series(out: np.ndarray) -> pd.Series:
+        out = filled(np.asarray(out, float))
+        return pd.Series([[None if np.isnan(v) else float(v) for v in row] for row in out])
+
+    if kind == "both":
+        @F.pandas_udf("array<double>")
+        def run(x: pd.Series, v: pd.Series) -> pd.Series:
+            return series(fn(matrix(x), matrix(v), **asked))
+        values = run("__x", "__v")
+    else:
+        @F.pandas_udf("array<double>")
+        def run(x: pd.Series) -> pd.Series:
+            return series(fn(matrix(x), **asked))
+        values = run("__x" if kind == "ret" else "__v")
+    f = materialize(with_filled_history(df, n).withColumn("__u", values).select(*df.columns, "__u"))
+    positions = list(range(1, n + 1))
+    if remove_nan:
+        row = f.agg(*[F.count(F.col("__u")[p - 1]).alias(f"p{p}") for p in positions]).first()
+        positions = [p for p in positions if row[f"p{p}"]]
+    names = [f"{name}_{p}_{lb}" for p in positions for lb in periods]
+    return f.select(*df.columns, *[F.col("__u")[p - 1].alias(f"{name}_{p}_{lb}") for p in positions for lb in periods]), names
+
+
 def all_null_indicator_columns(df: DataFrame, names: Sequence[str] | None = None,
                                labels: Sequence[int] = INDICATOR_PERIOD_LABELS, n: int = N_LAGS) -> list[str]:
     """Indicator columns that would be NULL in every row, without computing them.

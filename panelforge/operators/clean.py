@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import ID_COLS, PRUNE_KEEP_PREFIXES, PRUNE_NAME_PATTERN, TARGET, ret_cols
+from ..functions.moments import correlations
+from ..functions.selection import nth_smallest, up_to
+from ..schema import ID_COLS, MOSTLY_MISSING, PRUNE_KEEP_PREFIXES, PRUNE_NAME_PATTERN, TARGET, ret_cols
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -39,14 +41,14 @@ def attach_target(x: DataFrame, y: DataFrame, key: str = "ID") -> DataFrame:
 
 def sample_exact(df: DataFrame, n: int | None, seed: int = 42, key: str = "ID") -> DataFrame:
     """Exactly ``n`` rows without replacement, reproducible: the ``n`` smallest
-    ``md5(key:seed)``.  A top-n, so each task keeps only n candidates."""
+    ``md5(key:seed)``, taken with a filter up to the n-th one.  ``df`` is read a few
+    times to find that, so store it."""
     if n is None:
         return df
     total = df.count()
     if n > total:
         raise ValueError(f"cannot take a sample of {n} rows from {total}")
-    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
-    return df.orderBy(h, F.col(key)).limit(n)
+    return df.where(up_to(nth_smallest(df, n, key, seed), key, seed))
 
 
 def drop_all_missing(df: DataFrame, n_days: int = 5, prefix: str = "RET") -> DataFrame:
@@ -156,7 +158,7 @@ def fill_zero(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.fillna(0, subset=list(cols) if cols else None)
 
 
-def drop_mostly_missing(df: DataFrame, share: float = 0.5, keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+def drop_mostly_missing(df: DataFrame, share: float = MOSTLY_MISSING, keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     """Drop columns of which more than ``share`` is missing: one aggregate.  Returns
     (frame, dropped names)."""
     cols = [c for c in df.columns if c not in keep]
@@ -168,20 +170,17 @@ def drop_mostly_missing(df: DataFrame, share: float = 0.5, keep: Sequence[str] =
 def drop_correlated(df: DataFrame, cols: Sequence[str], threshold: float = 0.95) -> tuple[DataFrame, list[str]]:
     """Of each pair of columns with an absolute correlation above ``threshold`` (rows where
     both are present) the later one goes, unless the earlier one has gone already.
-    The pairs come from one aggregate; returns (frame, dropped names)."""
+    One scan; returns (frame, dropped names)."""
     cols = list(cols)
-    pairs = [(i, j) for j in range(len(cols)) for i in range(j)]
-    row = df.agg(*[F.abs(F.corr(cols[i], cols[j])).alias(f"r{i}_{j}") for i, j in pairs]).first() if pairs else {}
+    close = correlations(df, cols).where(F.abs("corr") > threshold).select("a", "b").collect()  # pairs of columns
     gone: list[str] = []
-    for i, j in pairs:
-        r = row[f"r{i}_{j}"]
-        if r is not None and r > threshold and cols[i] not in gone and cols[j] not in gone:
+    for i, j in sorted((r["a"], r["b"]) for r in close):
+        if cols[i] not in gone and cols[j] not in gone:
             gone.append(cols[j])
     return df.drop(*gone), gone
 
 
-def calendar_features(df: DataFrame, date_col: str) -> DataFrame:
-    """Day of week (0 = Monday), month, quarter and whether the day ends its month."""
+def calendar_features(df: DataFrame, date_col: str, prefix: str = "") -> DataFrame:
+    """Month, day of the month and day of the week (0 = Monday)."""
     d = F.col(date_col)
-    return df.withColumns({"day_of_week": F.weekday(d), "month_of_year": F.month(d), "quarter": F.quarter(d),
-                           "month_end": (F.to_date(d) == F.last_day(d)).cast("int")})
+    return df.withColumns({f"{prefix}month": F.month(d), f"{prefix}day": F.dayofmonth(d), f"{prefix}dayofweek": F.weekday(d)})

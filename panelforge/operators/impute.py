@@ -6,124 +6,269 @@ present in both rows, ``sqrt(C / n_common * sum(diff^2))``; the value is the
 mean of column j over the k nearest donors (ties by donor key), or the column
 mean when no donor shares a present column with row i.
 
-Distribution: exact kNN is receivers x donors work.  Receivers (rows with a
-missing cell) are hashed into ``nr`` blocks and donors into ``nd`` blocks of
-about ``block_rows`` rows; each receiver row is sent to every donor block and
-each donor row to every receiver block, so group (rb, db) holds one receiver
-block and one donor block.  ``applyInPandas`` computes that block's distances
-with numpy and emits only the k best donors per missing cell; an aggregate
-over (receiver, column) - at most k x nd candidates - keeps the global k best.  No pair
-rows are materialised and no task holds more than two blocks.
+Distribution: the rows are dealt into blocks of neighbours by a tree of median
+splits, fitted on a bounded sample; only which block pairs are compared depends on
+it, never the result.
+
+1. Each receiver (row with a missing cell) is compared with its own block.  The k-th
+   distance found there bounds what a donor elsewhere must beat.
+2. The blocks' bounding boxes (a row for each block, at most ``MOST_BLOCKS``) give a
+   least distance from a receiver to any donor of a block: the gaps to the box in
+   columns that all donors of the block have, scaled by C over the receiver's present
+   columns, of which n_common is never more.  The receiver is sent on only to blocks
+   that can hold a nearer donor.
+3. A block's receivers come in chunks of ``CHUNK`` rows, each with a copy of the
+   block.  Three masked matrix products give all distances of a chunk; those that are
+   within rounding of the k-th one are computed again term by term.  Each chunk emits
+   its k best donors of a missing cell, and an aggregate keeps the k best of all.
+
+No pair rows are materialised and no task holds more than a block and a chunk.
 
 ``within`` limits donors to rows sharing those keys (e.g. the same DATE):
-cheaper, but a different result, so it is an explicit option.
+cheaper, but a different result, so it is an explicit option; all blocks of
+the group are compared then.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..schema import KNN_NEIGHBORS
 from ..session import materialize, no_constraint_propagation
 
+#: Rows of the sample the splits are fitted on.
+SAMPLE = 16_384
+#: Blocks at most: their boxes go to every task (2 numbers a block and column).
+MOST_BLOCKS = 8_192
+#: Receivers of one chunk, and donors that are compared with it at once.
+CHUNK, DONORS = 2_048, 4_096
+
+
+# ---- one chunk of receivers against one block of donors ---------------------------
 
-def _block_topk(cols: list[str], k: int, key: str):
-    ncol = len(cols)
+def nearest(x: np.ndarray, y: np.ndarray, rid: np.ndarray, did: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest donors of every missing cell of ``x`` among ``y``, whose rows are in
+    the order of their keys: (rid, col, did, d2, val)."""
+    width = x.shape[1]
+    here, there = ~np.isnan(x), ~np.isnan(y)
+    x0, y0, mx, my = np.where(here, x, 0), np.where(there, y, 0), here.astype(float), there.astype(float)
+    common = mx @ my.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rough = np.where(common > 0, ((x0 * x0) @ my.T + mx @ (y0 * y0).T - 2 * (x0 @ y0.T)) * (width / common), np.inf)
+    # What cancellation in the products can amount to.
+    slack = 1e-12 * width * ((x0 * x0).sum(1) + (y0 * y0).sum(1).max(initial=0))
+    found = []
+    for j in range(width):
+        rows, donors = np.flatnonzero(~here[:, j]), np.flatnonzero(there[:, j])
+        if not len(rows) or not len(donors):
+            continue
+        some = rough[np.ix_(rows, donors)]
+        last = np.partition(some, k - 1, axis=1)[:, k - 1] if len(donors) > k else np.full(len(rows), np.inf)
+        r, d = np.nonzero((some <= (last + 2 * slack[rows])[:, None]) & np.isfinite(some))
+        found.append((np.full(len(r), j), rows[r], donors[d]))
+    if not found:
+        return pd.DataFrame({"rid": rid[:0], "col": np.zeros(0, np.int32), "did": did[:0], "d2": np.zeros(0), "val": np.zeros(0)})
+    j, r, d = (np.concatenate(c) for c in zip(*found))
+    exact, both = np.zeros(len(r)), np.zeros(len(r))
+    for c in range(width):  # column order fixes the summation order
+        diff = x[r, c] - y[d, c]
+        there_too = ~np.isnan(diff)
+        exact += np.where(there_too, diff * diff, 0)
+        both += there_too
+    exact = exact * width / both
+    order = np.lexsort((d, exact, j, r))
+    j, r, d, exact = j[order], r[order], d[order], exact[order]
+    first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (j[1:] != j[:-1])]))
+    rank = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
+    keep = rank < k
+    j, r, d = j[keep], r[keep], d[keep]
+    return pd.DataFrame({"rid": rid[r], "col": j.astype(np.int32), "did": did[d], "d2": exact[keep], "val": y[d, j]})
 
+
+def _compare(cols: list[str], k: int, key: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rec = pdf[pdf["__role"] == 0]
-        don = pdf[pdf["__role"] == 1].sort_values(key, kind="stable")
-        if rec.empty or don.empty:
-            return pd.DataFrame({"rid": [], "col": [], "did": [], "d2": [], "val": []})
-        x = rec[cols].to_numpy(dtype="float64", na_value=np.nan)
-        y = don[cols].to_numpy(dtype="float64", na_value=np.nan)
-        mx, my = ~np.isnan(x), ~np.isnan(y)
-        ss = np.zeros((len(x), len(y)))
-        common = np.zeros((len(x), len(y)), dtype=np.int64)
-        for j in range(ncol):  # column order fixes the summation order
-            d = x[:, j, None] - y[None, :, j]
-            both = mx[:, j, None] & my[None, :, j]
-            ss += np.where(both, d * d, 0.0)
-            common += both
-        with np.errstate(divide="ignore", invalid="ignore"):
-            d2 = np.where(common > 0, ss * ncol / common, np.inf)
-        rid = rec[key].to_numpy()
-        did = don[key].to_numpy()
-        parts = []
-        for j, c in enumerate(cols):
-            rows = np.nonzero(~mx[:, j])[0]
-            dcols = np.nonzero(my[:, j])[0]
-            if len(rows) == 0 or len(dcols) == 0:
-                continue
-            sub = d2[np.ix_(rows, dcols)]
-            take = min(k, len(dcols))
-            # donors are sorted by key, so a stable sort breaks distance ties by key
-            order = np.argsort(sub, axis=1, kind="stable")[:, :take]
-            dist = np.take_along_axis(sub, order, axis=1)
-            ok = np.isfinite(dist)
-            r_idx = np.repeat(rows, take).reshape(len(rows), take)[ok]
-            d_idx = dcols[order][ok]
-            parts.append(pd.DataFrame({"rid": rid[r_idx], "col": c, "did": did[d_idx],
-                                       "d2": dist[ok], "val": y[d_idx, j]}))
-        out = pd.concat(parts, ignore_index=True) if parts else \
-            pd.DataFrame({"rid": [], "col": [], "did": [], "d2": [], "val": []})
-        return pd.DataFrame(out)
+        rec, don = pdf[pdf["__role"] == 0], pdf[pdf["__role"] == 1].sort_values(key, kind="stable")
+        x, y = (d[cols].to_numpy(dtype="float64", na_value=np.nan) for d in (rec, don))
+        rid, did = rec[key].to_numpy(), don[key].to_numpy()
+        parts = [nearest(x[i:i + CHUNK], y[a:a + DONORS], rid[i:i + CHUNK], did[a:a + DONORS], k)
+                 for i in range(0, len(x), CHUNK) for a in range(0, len(y), DONORS)]
+        return pd.concat(parts, ignore_index=True) if parts else nearest(x, y, rid, did, k)
 
     return run
 
 
-def knn_impute(df: DataFrame, cols: Sequence[str], k: int = 5, key: str = "ID",
+# ---- blocks -------------------------------------------------------------------------
+
+def splits(sample: np.ndarray, depth: int) -> list[tuple[int, float]]:
+    """A tree of ``depth`` levels in heap order: each node halves its sample rows at the
+    median of the column that varies most there; missing values count as the median."""
+    out: list[tuple[int, float]] = []
+    level = [sample]
+    for _ in range(depth):
+        below = []
+        for rows in level:
+            with np.errstate(invalid="ignore"):
+                spread = np.array([np.nanvar(c) if (~np.isnan(c)).any() else 0.0 for c in rows.T]) if len(rows) else np.zeros(sample.shape[1])
+            col = int(spread.argmax())
+            at = float(np.nanmedian(rows[:, col])) if len(rows) and (~np.isnan(rows[:, col])).any() else 0.0
+            out.append((col, at))
+            right = np.where(np.isnan(rows[:, col]), at, rows[:, col]) > at
+            below += [rows[~right], rows[right]]
+        level = below
+    return out
+
+
+def block_of(x: np.ndarray, tree: list[tuple[int, float]], depth: int) -> np.ndarray:
+    node = np.zeros(len(x), np.int64)
+    col, at = np.array([c for c, _ in tree], np.int64), np.array([v for _, v in tree])
+    for _ in range(depth):
+        v = x[np.arange(len(x)), col[node]]
+        node = 2 * node + 1 + (np.where(np.isnan(v), at[node], v) > at[node])
+    return node - (2 ** depth - 1)
+
+
+def _matrix(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+    return np.column_stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]).astype(float)
+
+
+def _in_blocks(base: DataFrame, cols: list[str], key: str, rows: int, block_rows: int) -> tuple[DataFrame, int]:
+    """``base`` with ``__block``, stored; and the number of blocks."""
+    depth = max(0, math.ceil(math.log2(max(1, min(MOST_BLOCKS, rows / block_rows)))))
+    if not depth:
+        return base.withColumn("__block", F.lit(0)), 1
+    share = min(1.0, SAMPLE / rows)
+    picked = base.where(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).select(*cols)
+    tree = splits(picked.toPandas().to_numpy(dtype="float64", na_value=np.nan), depth)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = block_of(_matrix(batch, cols), tree, depth)
+            yield pa.record_batch([*batch.columns, pa.array(at.astype(np.int32))], names=[*batch.schema.names, "__block"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
+    return base.mapInArrow(run, f"{kinds}, __block int"), 2 ** depth
+
+
+def _boxes(base: DataFrame, cols: list[str]) -> tuple[np.ndarray, ...]:
+    """(block, low, high, whole): bounding boxes, a row for each block; ``whole`` says
+    in which columns no row of the block is missing."""
+    found = base.groupBy("__block").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}{i}") for i, c in enumerate(cols) for f in (F.min, F.max, F.count)]).toPandas()
+    part = lambda name: found[[f"{name}{i}" for i in range(len(cols))]].to_numpy(dtype="float64", na_value=np.nan)
+    return found["__block"].to_numpy(), part("min"), part("max"), part("count") == found["n"].to_numpy()[:, None]
+
+
+def least_distances(x: np.ndarray, low: np.ndarray, high: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """For each row and box no more than the squared distance to any donor in the box."""
+    here = ~np.isnan(x)
+    out = np.zeros((len(x), len(low)))
+    for c in range(x.shape[1]):
+        rows, boxes = np.flatnonzero(here[:, c]), np.flatnonzero(whole[:, c])
+        gap = np.maximum(np.maximum(low[boxes, c][None, :] - x[rows, c][:, None], x[rows, c][:, None] - high[boxes, c][None, :]), 0)
+        out[np.ix_(rows, boxes)] += gap * gap
+    # a hair less, so that rounding cannot lose a tie
+    return out * (x.shape[1] / np.maximum(here.sum(1), 1))[:, None] * (1 - 1e-9)
+
+
+# ---- the operator ---------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Work:
+    """Receiver-donor pairs that were compared, and all there are."""
+    compared: int
+    possible: int
+
+
+def knn_impute(df: DataFrame, cols: Sequence[str], k: int = KNN_NEIGHBORS, key: str = "ID",
                block_rows: int = 1024, within: Sequence[str] = ()) -> DataFrame:
     """Fill NULLs of ``cols`` with the mean of the k nearest donors' values."""
+    return knn_impute_work(df, cols, k, key, block_rows, within)[0]
+
+
+def knn_impute_work(df: DataFrame, cols: Sequence[str], k: int = KNN_NEIGHBORS, key: str = "ID",
+                    block_rows: int = 1024, within: Sequence[str] = ()) -> tuple[DataFrame, Work]:
+    """``knn_impute`` and the work it took."""
     with no_constraint_propagation(df.sparkSession):
-        return materialize(_imputed(materialize(df), list(cols), k, key, block_rows, list(within)))
+        out, work = _imputed(materialize(df), list(cols), k, key, block_rows, list(within))
+        return materialize(out), work
 
 
-def _imputed(df: DataFrame, cols: list[str], k: int, key: str, block_rows: int, within: list[str]) -> DataFrame:
+def _imputed(df: DataFrame, cols: list[str], k: int, key: str, block_rows: int, within: list[str]) -> tuple[DataFrame, Work]:
+    kind = df.schema[key].dataType.simpleString()
     # one array predicate, not a 40-way OR: a long disjunction makes Catalyst's
     # constraint propagation through the union and joins explode
-    kind = df.schema[key].dataType.simpleString()
-    any_null = F.exists(F.array(*[F.col(c).cast("double") for c in cols]), lambda x: x.isNull())
-    base = df.select(key, *within, *[F.col(c).cast("double") for c in cols])
-    receivers = base.where(any_null)
+    values = F.array(*[F.col(c).cast("double") for c in cols])
+    base = df.select(key, *within, F.size(F.filter(values, lambda v: v.isNull())).alias("__missing"), *[F.col(c).cast("double") for c in cols])
+    total = base.agg(F.count(F.lit(1)).alias("d"), F.count_if(F.col("__missing") > 0).alias("r")).first()
     if within:
-        sizes = base.groupBy(*within).agg(
-            F.count(F.lit(1)).alias("__nd"), F.count_if(any_null).alias("__nr")).select(
-            *within, F.greatest(F.lit(1), F.ceil(F.col("__nr") / block_rows)).cast("int").alias("__nrb"),
-            F.greatest(F.lit(1), F.ceil(F.col("__nd") / block_rows)).cast("int").alias("__ndb"))
-        rec = receivers.join(sizes, within)
-        don = base.join(sizes, within)
-        nrb, ndb = F.col("__nrb"), F.col("__ndb")
+        sizes = base.groupBy(*within).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).cast("int").alias("__blocks"))
+        base = base.join(sizes, within).withColumn("__block", F.pmod(F.xxhash64(key), F.col("__blocks")).cast("int"))
+        blocks = 0
     else:
-        cnt = base.agg(F.count(F.lit(1)).alias("d"), F.count_if(any_null).alias("r")).first()
-        nrb = F.lit(max(1, math.ceil((cnt["r"] or 0) / block_rows)))
-        ndb = F.lit(max(1, math.ceil((cnt["d"] or 0) / block_rows)))
-        rec, don = receivers, base
-    h = F.xxhash64(key)
-    rec = rec.select(key, *within, *cols, F.lit(0).alias("__role"), F.pmod(h, nrb).cast("int").alias("__rb"),
-                     F.explode(F.sequence(F.lit(0), ndb - 1)).alias("__db"))
-    don = don.select(key, *within, *cols, F.lit(1).alias("__role"),
-                     F.explode(F.sequence(F.lit(0), nrb - 1)).alias("__rb"), F.pmod(h, ndb).cast("int").alias("__db"))
-    cand = rec.unionByName(don).groupBy(*within, "__rb", "__db").applyInPandas(
-        _block_topk(cols, k, key), f"rid {kind}, col string, did {kind}, d2 double, val double")
+        base, blocks = _in_blocks(base, cols, key, total["d"], block_rows)
+    base = materialize(base)
+    block = [*within, "__block"]
+    receivers = base.where("__missing > 0")
+    found_kind = f"rid {kind}, col int, did {kind}, d2 double, val double"
+    rows = [key, *within, *cols]
+    compare = _compare(cols, k, key)
+
+    def compared(rec: DataFrame) -> tuple[DataFrame, int]:
+        """Candidates of (receiver, __block) rows against those blocks, in chunks."""
+        held = base.groupBy(*block).agg(F.count(F.lit(1)).alias("__d"))
+        chunks = materialize(rec.groupBy(*block).agg(F.count(F.lit(1)).alias("__r")).join(held, block)
+                             .withColumn("__chunks", F.ceil(F.col("__r") / CHUNK).cast("int")))
+        pairs = chunks.agg(F.sum(F.col("__r") * F.col("__d"))).first()[0] or 0
+        left = rec.join(chunks.select(*block, "__chunks"), block).select(
+            *rows, "__block", F.lit(0).alias("__role"), F.pmod(F.xxhash64(key, F.lit(2)), F.col("__chunks")).cast("int").alias("__chunk"))
+        right = base.join(chunks.select(*block, "__chunks"), block).select(
+            *rows, "__block", F.lit(1).alias("__role"), F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)).alias("__chunk"))
+        return left.unionByName(right).groupBy(*block, "__chunk").applyInPandas(compare, found_kind), int(pairs)
+
+    home, at_home = compared(receivers.select(*rows, "__block"))
+    home = materialize(home)
+    elsewhere, away = None, 0
+    if within:
+        rest = receivers.select(*rows, F.col("__block").alias("__home"), F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__block"))
+        elsewhere, away = compared(rest.where("__block <> __home").drop("__home"))
+    elif blocks > 1:
+        cells = home.groupBy("rid", "col").agg(F.count(F.lit(1)).alias("n"), F.max("d2").alias("d2"))
+        bound = cells.groupBy("rid").agg(F.count_if(F.col("n") >= k).alias("__cells"), F.max("d2").alias("__d2"))
+        bounded = receivers.join(bound.withColumnRenamed("rid", key), key, "left").withColumn(
+            "__bound", F.when(F.col("__cells") == F.col("__missing"), F.col("__d2")).otherwise(float("inf")))
+        names, low, high, whole = _boxes(base, cols)
+
+        def reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                step = max(1, (1 << 21) // max(len(names), 1))
+                for a in range(0, batch.num_rows, step):
+                    part = batch.slice(a, step)
+                    bounds, own = (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("__bound", "__block"))
+                    r, b = np.nonzero((least_distances(_matrix(part, cols), low, high, whole) <= bounds[:, None]) & (names[None, :] != own[:, None]))
+                    if len(r):
+                        sent = part.select(rows).take(pa.array(r))
+                        yield pa.record_batch([*sent.columns, pa.array(names[b].astype(np.int32))], names=[*rows, "__block"])
+
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*rows).schema.fields)
+        elsewhere, away = compared(materialize(bounded.select(*rows, "__bound", "__block").mapInArrow(reachable, f"{kinds}, __block int")))
+    cand = home if elsewhere is None else home.unionByName(elsewhere)
     # the row number limit is applied per partition before the shuffle: k rows of each cell from each
-    nearest = Window.partitionBy("rid", "col").orderBy("d2", "did")
-    top = cand.withColumn("__r", F.row_number().over(nearest)).where(F.col("__r") <= k)
+    order = Window.partitionBy("rid", "col").orderBy("d2", "did")
+    top = cand.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k)
     listed = top.groupBy("rid", "col").agg(F.array_sort(F.collect_list(F.struct("d2", "did", "val"))).alias("top"))  # k at most
-    best = listed.select("rid", "col", (F.aggregate(F.col("top"), F.lit(0.0), lambda a, t: a + t["val"])
-                                        / F.size("top")).alias("imp"))
+    best = listed.select("rid", "col", (F.aggregate(F.col("top"), F.lit(0.0), lambda a, t: a + t["val"]) / F.size("top")).alias("imp"))
     # the block stage is the expensive one: store it (lineage cut) before the join back
-    imputed = materialize(best.groupBy("rid").pivot("col", cols).agg(F.first("imp")))
+    imputed = materialize(best.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("col", "imp"))).alias("__imp")))
     means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()  # one number per column
-    out = df.join(imputed.withColumnRenamed("rid", key).select(
-        key, *[F.col(c).alias(f"__imp_{c}") for c in cols]), key, "left")
+    out = df.join(imputed.withColumnRenamed("rid", key), key, "left")
     return out.select(*[
-        F.coalesce(F.col(c).cast("double"), F.col(f"__imp_{c}"),
-                   F.lit(means[c]).cast("double")).alias(c) if c in cols else F.col(c)
-        for c in df.columns])
+        F.coalesce(F.col(c).cast("double"), F.try_element_at("__imp", F.lit(cols.index(c))), F.lit(means[c]).cast("double")).alias(c) if c in cols else F.col(c)
+        for c in df.columns]), Work(at_home + away, int(total["r"]) * int(total["d"]))

@@ -8,13 +8,14 @@ task holds more than one range bucket of scores.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import running_totals
 from ..schema import BENCHMARK_ACCURACY
+from ..session import materialize
 
 # Machine epsilon of float64, the clip used for log loss.
 LOG_LOSS_EPS = 2.220446049250313e-16
@@ -92,9 +93,9 @@ def class_metrics(scores: DataFrame, label: str = "label", pred: str = "pred") -
 
 
 def _grouped(scores: DataFrame, label: str, proba: str) -> DataFrame:
-    return scores.groupBy(F.col(proba).alias("score")).agg(
+    return materialize(scores.groupBy(F.col(proba).alias("score")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("pos"),
-        F.sum((F.col(label) == 0).cast("long")).alias("neg"))
+        F.sum((F.col(label) == 0).cast("long")).alias("neg")))
 
 
 def roc_auc(scores: DataFrame, label: str = "label", proba: str = "proba") -> DataFrame:
@@ -160,41 +161,78 @@ def benchmark_compare(metrics: DataFrame, benchmark: float = BENCHMARK_ACCURACY,
     })
 
 
-def wide_to_long(wide: DataFrame) -> DataFrame:
-    """A one-row metrics frame as (Statistic, value) rows."""
-    cols = wide.columns
-    return wide.select(*[F.col(c).cast("double") for c in cols]).unpivot([], cols, "Statistic", "value")
-
-
-def model_metrics(scores: DataFrame, label: str = "label", pred: str = "pred",
-                  proba: str = "proba", benchmark: float = BENCHMARK_ACCURACY) -> DataFrame:
-    """All metrics of one model as (Statistic, value) rows, named as in the report."""
-    parts = [
-        benchmark_compare(binary_metrics(scores, label, pred), benchmark),
-        roc_auc(scores, label, proba),
-        avg_precision(scores, label, proba),
-        log_loss_brier(scores, label, proba),
-        score_stats(scores, label, pred, proba),
-    ]
-    out = None
-    for p in parts:
-        longp = wide_to_long(p)
-        out = longp if out is None else out.unionByName(longp)
-    per_class = class_metrics(scores, label, pred).where(F.col("class").isin("0", "1"))
-    per_class = per_class.select(F.explode(F.array(*[
-        F.struct(F.concat(F.lit("class_"), F.col("class"), F.lit(f"_{m}")).alias("Statistic"),
-                 F.col(m).cast("double").alias("value"))
-        for m in ("precision", "recall", "f1")])).alias("s")).select("s.*")
-    return out.unionByName(per_class)
-
-
-def metrics_long(models: Mapping[str, DataFrame]) -> DataFrame:
-    """Stack per-model (Statistic, value) rows into (Model, Statistic, value)."""
-    out = None
-    for name, stats in models.items():
-        part = stats.select(F.lit(name).alias("Model"), "Statistic", "value")
-        out = part if out is None else out.unionByName(part)
-    return out
+def grouped_scores(scores: DataFrame, by: Sequence[str], label: str = "label", pred: str = "pred",
+                   proba: str = "proba") -> DataFrame:
+    """Rows counted by (``by``, score, label, pred): the one pass over the scores that all
+    metrics below start from, stored."""
+    return materialize(scores.groupBy(*by, F.col(proba).cast("double").alias("score"), F.col(label).cast("int").alias("y"), F.col(pred).cast("int").alias("p"))
+                       .agg(F.count(F.lit(1)).alias("k")))
+
+
+def _count_metrics(grouped: DataFrame, by: Sequence[str], benchmark: float) -> DataFrame:
+    y, p, k, s = (F.col(c) for c in ("y", "p", "k", "score"))
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, k)), F.lit(0))
+
+    def mean(value: Column) -> Column:
+        return F.sum(value * k) / F.nullif(F.sum(F.when(value.isNotNull(), k)), F.lit(0))
+
+    clipped = F.least(F.greatest(s, F.lit(LOG_LOSS_EPS)), F.lit(1 - LOG_LOSS_EPS))
+    t = y.cast("double")
+    wide = grouped.groupBy(*by).agg(
+        F.sum(k).alias("n"), total((y == 1) & (p == 1)).alias("tp"), total((y == 0) & (p == 1)).alias("fp"),
+        total((y == 1) & (p == 0)).alias("fn"), total((y == 0) & (p == 0)).alias("tn"),
+        mean(-(t * F.log(clipped) + (1 - t) * F.log(1 - clipped))).alias("log_loss"), mean(F.pow(s - t, 2)).alias("brier_score"),
+        mean(p.cast("double")).alias("pred_pos_ratio"), mean(t).alias("true_pos_ratio"), mean(s).alias("_mean"))
+    # The spread of the scores about their mean, not from squares: it may be tiny.
+    means = wide.select(*[F.col(c).alias(f"_m_{c}") for c in by], "_mean")
+    spread = grouped.join(means, [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in by]).groupBy(*by).agg(
+        F.sqrt(F.sum(F.pow(s - F.col("_mean"), 2) * k) / F.nullif(F.sum(F.when(s.isNotNull(), k)), F.lit(0))).alias("pred_std"))
+    tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
+    parts = {"0": (tn, fn, fp, tn + fp), "1": (tp, fp, fn, tp + fn)}
+    per_class = {}
+    for cls, (hit, wrong, missed, support) in parts.items():
+        for name, value in (("precision", _ratio(hit, hit + wrong)), ("recall", _ratio(hit, hit + missed)), ("f1", _ratio(2 * hit, 2 * hit + wrong + missed))):
+            per_class[f"class_{cls}_{name}"] = F.when(support > 0, value)
+    wide = _join_by(wide, spread, by).withColumns(_binary_exprs())
+    return benchmark_compare(wide.withColumns(per_class), benchmark).drop("_mean")
+
+
+def _join_by(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Joined on ``by``, NULL being a value like any other."""
+    renamed = b.select(*[F.col(c).alias(f"_j_{c}") for c in by], *[c for c in b.columns if c not in by])
+    return a.join(renamed, [F.col(c).eqNullSafe(F.col(f"_j_{c}")) for c in by], "left").drop(*[f"_j_{c}" for c in by])
+
+
+def _rank_metrics(grouped: DataFrame, by: Sequence[str]) -> DataFrame:
+    by_score = materialize(grouped.groupBy(*by, "score").agg(
+        F.coalesce(F.sum(F.when(F.col("y") == 1, F.col("k"))), F.lit(0)).alias("pos"), F.coalesce(F.sum(F.when(F.col("y") == 0, F.col("k"))), F.lit(0)).alias("neg")))
+    g = running_totals(by_score, "score", ["pos", "neg"], descending=True, totals=True, by=by)
+    # A positive beats the negatives below it (half of the tied ones).
+    below = F.col("tot_neg") - F.col("cum_neg") + F.col("neg") / 2.0
+    return g.groupBy(*by).agg(
+        (F.sum(F.col("pos") * below) / F.nullif(F.sum("pos").cast("double") * F.sum("neg"), F.lit(0.0))).alias("roc_auc"),
+        (F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))) / F.nullif(F.sum("pos"), F.lit(0))).alias("avg_precision"))
+
+
+def metrics_wide(scores: DataFrame, by: Sequence[str] = ("Model",), label: str = "label", pred: str = "pred",
+                 proba: str = "proba", benchmark: float = BENCHMARK_ACCURACY) -> DataFrame:
+    """All metrics and the four confusion counts, one row for each combination of ``by``
+    (models, folds, ...), from one pass over the scores.  A metric of a class without
+    rows is NULL, as are ``roc_auc`` and ``avg_precision`` without both classes."""
+    by = list(by)
+    grouped = grouped_scores(scores, by, label, pred, proba)
+    return _join_by(_count_metrics(grouped, by, benchmark), _rank_metrics(grouped, by), by)
+
+
+def metrics_long(scores: DataFrame, by: Sequence[str] = ("Model",), **names) -> DataFrame:
+    """``metrics_wide`` as rows (*by, Statistic, value); classes without rows have none."""
+    by = list(by)
+    wide = metrics_wide(scores, by, **names)
+    cols = [c for c in wide.columns if c not in (*by, "n", "tp", "fp", "fn", "tn")]
+    long = wide.select(*by, *[F.col(c).cast("double") for c in cols]).unpivot(by, cols, "Statistic", "value")
+    return long.where(~F.col("Statistic").startswith("class_") | F.col("value").isNotNull())
 
 
 def metrics_map(long: DataFrame) -> DataFrame:

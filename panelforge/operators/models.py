@@ -1,9 +1,8 @@
 """Model training, tuning and scoring with MLlib (data-parallel fits).
 
-Features are assembled into one vector column; missing values are filled
-with 0 first (as the benchmark does).  Folds come from a fold column
-(``date_folds`` / ``stratified_folds``) so that cross-validation never puts a
-date on both sides.  Model parity with other libraries' trees, boosting and
+Features are assembled into one vector column; ``prepare`` fills missing values
+with 0 first (as the benchmark does).  Searches over settings and folds are in
+``tuning``.  Model parity with other libraries' trees, boosting and
 networks is not a goal: operators and metrics are.
 """
 
@@ -14,14 +13,12 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import IMPORTANCE_THRESHOLD, TARGET
+from ..schema import TARGET
 
 
 def prepare(df: DataFrame, features: Sequence[str], target: str = TARGET) -> DataFrame:
@@ -41,8 +38,9 @@ def decision_tree(max_depth: int = 11, min_leaf: int = 50, impurity: str = "gini
     return DecisionTreeClassifier(maxDepth=max_depth, minInstancesPerNode=min_leaf, impurity=impurity, seed=seed)
 
 
-def random_forest(num_trees: int = 500, max_depth: int = 8, seed: int = 0):
-    return RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed)
+def random_forest(num_trees: int = 500, max_depth: int = 8, seed: int = 0, memory_mb: int = 1024):
+    """``memory_mb`` bounds the statistics of the nodes that are split in one pass over the rows."""
+    return RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed, maxMemoryInMB=memory_mb)
 
 
 def gradient_boosting(max_iter: int = 100, step: float = 0.1, max_bins: int = 255, seed: int = 10,
@@ -61,55 +59,6 @@ def mlp(n_features: int, layers: Sequence[int] = (50, 150, 50, 35), max_iter: in
     return Pipeline(stages=[scaler, net])
 
 
-def accuracy(scored: DataFrame, pred: str = "pred", label: str = "label") -> float:
-    return scored.agg(F.avg((F.col(pred) == F.col(label)).cast("double"))).first()[0]
-
-
-def grid_search(estimator, grid, train: DataFrame, fold_col: str = "fold", metric: str = "accuracy",
-                parallelism: int = 4, num_folds: int = 2):
-    """CrossValidator over a user fold column; returns (model, results frame)."""
-    ev = MulticlassClassificationEvaluator(metricName=metric)
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col,
-                        numFolds=num_folds, parallelism=parallelism, collectSubModels=False)
-    model = cv.fit(train)
-    rows = []
-    std = getattr(model, "stdMetrics", None) or [None] * len(grid)
-    for pm, m, s in zip(grid, model.avgMetrics, std):
-        rows.append((", ".join(f"{p.name}={v}" for p, v in pm.items()), float(m), None if s is None else float(s)))
-    res = train.sparkSession.createDataFrame(rows, "params string, mean_score double, std_score double")
-    return model, res
-
-
 def importances(model, features: Sequence[str]) -> list[tuple[str, float]]:
     imp = model.featureImportances.toArray()
     return [(f, float(v)) for f, v in zip(features, imp)]
-
-
-def select_features(model, features: Sequence[str], threshold: float = IMPORTANCE_THRESHOLD) -> list[str]:
-    return [f for f, v in importances(model, features) if v >= threshold]
-
-
-def staged_gbt(train: DataFrame, fold_col: str = "fold", iters=(10, 20), depths=(3, 5), leaves=(20, 50),
-               gains=(0.0, 0.01), bins=(32, 64), seed: int = 10, num_folds: int = 2):
-    """Four cross-validated stages carrying the best parameters forward:
-    iterations, depth x min leaf, min info gain (MLlib has no l2; this is the
-    named substitute), bins.  Returns the stage results as one frame."""
-    best = {"maxIter": iters[0], "maxDepth": depths[0], "minInstancesPerNode": leaves[0],
-            "minInfoGain": gains[0], "maxBins": bins[0]}
-    out = None
-    stages = [("n_estimators", {"maxIter": iters}),
-              ("tree_params", {"maxDepth": depths, "minInstancesPerNode": leaves}),
-              ("leaf_params", {"minInfoGain": gains}),
-              ("max_features", {"maxBins": bins})]
-    for stage, grid_spec in stages:
-        est = GBTClassifier(seed=seed, stepSize=0.1, **{k: v for k, v in best.items() if k not in grid_spec})
-        b = ParamGridBuilder()
-        for k, vals in grid_spec.items():
-            b = b.addGrid(est.getParam(k), list(vals))
-        grid = b.build()
-        model, res = grid_search(est, grid, train, fold_col, num_folds=num_folds)
-        i = max(range(len(grid)), key=lambda j: model.avgMetrics[j])
-        best.update({p.name: v for p, v in grid[i].items()})
-        res = res.withColumn("stage", F.lit(stage))
-        out = res if out is None else out.unionByName(res)
-    return out, best

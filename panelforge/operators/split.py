@@ -7,9 +7,14 @@ small tables (one row per date, or per row in the stratified case).
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.selection import nth_smallest, up_to
+from ..session import materialize
 
 
 def _hash(key: Column | str, seed: int) -> Column:
@@ -30,8 +35,9 @@ def hash_split(df: DataFrame, test_size: float = 0.25, seed: int = 0, key: str =
 
 def train_test_frames(df: DataFrame, test_size: float = 0.25, seed: int = 0, key: str = "ID",
                       target: str = "RET"):
-    """X_train, X_test, y_train, y_test as four DataFrames (ids kept on y)."""
-    s = hash_split(df, test_size, seed, key, "__split")
+    """X_train, X_test, y_train, y_test as four DataFrames (ids kept on y), with an
+    exact test count (``exact_split``).  The split is stored once."""
+    s = materialize(exact_split(df, test_size, seed, key, "__split"))
     tr, te = s.where(F.col("__split") == "train").drop("__split"), s.where(F.col("__split") == "test").drop("__split")
     return tr.drop(target), te.drop(target), tr.select(key, target), te.select(key, target)
 
@@ -71,14 +77,7 @@ def stratified_folds(df: DataFrame, k: int = 10, seed: int = 0, label: str = "RE
 def exact_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, key: str = "ID",
                 out: str = "split") -> DataFrame:
     """Random split with an exact test count, ``ceil(test_size * n)``: the rows of the
-    smallest md5(key:seed).  Ranks come from counts per leading hash digits plus a
-    window inside each such bucket."""
-    keyed = df.withColumn("__h", _hash(key, seed)).withColumn("__b", F.conv(F.substring("__h", 1, 4), 16, 10).cast("int"))
-    counts = keyed.groupBy("__b").agg(F.count(F.lit(1)).alias("__cnt"))  # 65,536 rows at most
-    order = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("__b", F.coalesce(F.sum("__cnt").over(order), F.lit(0)).alias("__off"),
-                         F.sum("__cnt").over(Window.partitionBy()).alias("__n"))
-    rn = F.row_number().over(Window.partitionBy("__b").orderBy("__h", key))
-    test = F.col("__off") + rn <= F.ceil(F.lit(test_size) * F.col("__n"))
-    return (keyed.join(offs, "__b").withColumn(out, F.when(test, F.lit("test")).otherwise(F.lit("train")))
-            .drop("__h", "__b", "__off", "__n"))
+    smallest md5(key:seed), told apart by comparing with the last of them."""
+    count = math.ceil(Decimal(str(test_size)) * df.count())
+    last = nth_smallest(df, count, key, seed)
+    return df.withColumn(out, F.when(up_to(last, key, seed), F.lit("test")).otherwise(F.lit("train")))

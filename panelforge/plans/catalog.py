@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 
 from ..operators import clean, groupstats, joins, metrics, report, split
 from ..schema import HISTORY_COLS, ID_COLS, TARGET
-from ..session import materialize
 from ..sources.panel import build_panel, lag_matrix, series_of, build_scores, one_day_return, relative_volume, supplier_months
+from ..session import materialize
+from ..sources.io import read_or_compute
 from ..sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,11 +178,12 @@ def q_inf_columns(spark, sf):
 
 @query("drop_mostly_missing")
 def q_drop_mostly_missing(spark, sf):
-    """The early lags of every supplier-month: the longest ones are mostly missing."""
-    p = series_of(spark, sf).where("seq <= 24")
-    lags = lag_matrix(p, "l_suppkey", "month", {"RET": "ret"})
-    out, _ = clean.drop_mostly_missing(lags.select("l_suppkey", "seq", *[f"RET_{k}" for k in range(1, 21)]))
-    return rounded(out.select("l_suppkey", "seq", *[F.col(c).cast("double") for c in out.columns if c.startswith("RET_")]))
+    """Returns up to 83 months back: the longest lags are nearly always missing.  What
+    is kept comes as one row for each value."""
+    lags = lag_matrix(series_of(spark, sf), "l_suppkey", "month", {"RET": "ret"}, 84)
+    wide = materialize(lags.select("l_suppkey", "seq", *[F.col(f"RET_{k}").cast("double").alias(f"RET_{k}") for k in (1, 20, 40, 60, *range(70, 85))]))
+    out, _ = clean.drop_mostly_missing(wide, keep=("l_suppkey", "seq"))
+    return rounded(out.unpivot(["l_suppkey", "seq"], out.columns[2:], "column", "value").where("value IS NOT NULL"))
 
 
 @query("drop_correlated")
@@ -334,22 +336,22 @@ def _rule_scores(panel: DataFrame) -> DataFrame:
         .where(F.col("proba").isNotNull())
 
 
-def _models_long(spark, sf):
+def _model_scores(spark, sf):
+    """The scores of two rules under their names, in one table."""
     p = _panel(spark, sf)
-    return metrics.metrics_long({
-        "ret1_logistic": metrics.model_metrics(build_scores(p)),
-        "sector_mean_rule": metrics.model_metrics(_rule_scores(p)),
-    })
+    named = {"ret1_logistic": build_scores(p), "sector_mean_rule": _rule_scores(p)}
+    parts = [s.select(F.lit(name).alias("Model"), "label", "pred", "proba") for name, s in named.items()]
+    return parts[0].unionByName(parts[1])
 
 
 @query("metrics_long")
 def q_metrics_long(spark, sf):
-    return rounded(_models_long(spark, sf))
+    return rounded(metrics.metrics_long(_model_scores(spark, sf)))
 
 
 @query("model_accuracy")
 def q_model_accuracy(spark, sf):
-    return rounded(report.model_accuracy(_models_long(spark, sf)))
+    return rounded(report.model_accuracy(_model_scores(spark, sf)))
 
 
 @query("run_metadata")
@@ -375,6 +377,22 @@ for _name in ind.INDICATORS:
     QUERIES[f"ind_{_name.lower()}"] = _ind_query(_name)
 
 
+@query("user_indicator")
+def q_user_indicator(spark, sf):
+    """A user's own function, the mean of the last five days, as the built-in one has it."""
+    p = _panel(spark, sf).select("ID", *HISTORY_COLS)
+
+    def mean_of_five(x, timeperiod):
+        import numpy as np
+        out = np.full_like(x, np.nan)
+        for i in range(timeperiod - 1, x.shape[1]):
+            out[:, i] = x[:, i - timeperiod + 1:i + 1].sum(axis=1) / timeperiod
+        return out
+
+    out, names = ind.add_user_indicator(p, "OWN", mean_of_five, {"data_type": "ret", "timeperiod": 5})
+    return rounded(out.select("ID", *names))
+
+
 @query("ffill_history")
 def q_ffill_history(spark, sf):
     p = _panel(spark, sf).select("ID", *HISTORY_COLS)
@@ -385,16 +403,14 @@ def q_ffill_history(spark, sf):
 
 
 def indicator_features(panel: DataFrame) -> tuple[DataFrame, list[str]]:
-    """All indicators at all positions and labels (363 columns on 20 lags), then
-    drop the all-NULL ones (one aggregate) and prune by name.  Returns the
+    """The indicators (363 columns on 20 lags) that are left after the all-NULL ones
+    (one aggregate) and those pruned by name; only these are computed.  Returns the
     frame and the surviving indicator names."""
-    full = ind.add_indicators(panel, positions={nm: range(1, 21) for nm in ind.INDICATORS})
-    new = [c for c in full.columns if c not in panel.columns]
     empty = set(ind.all_null_indicator_columns(panel))
-    keep = [c for c in new if c not in empty]
-    pruned = set(clean.prune_names(keep))
-    return full.select(*panel.columns, *[c for c in keep if c not in pruned]), \
-        [c for c in keep if c not in pruned]
+    names = [c for c in ind.indicator_names(all_positions=True) if c not in empty]
+    pruned = set(clean.prune_names(names))
+    keep = [c for c in names if c not in pruned]
+    return ind.add_named_indicators(panel, keep), keep
 
 
 @query("prune_by_name")
@@ -414,13 +430,21 @@ def q_knn_impute(spark, sf):
     return rounded(knn_impute(t, HISTORY_COLS, k=5, key="ID"))
 
 
-# ---- models (rows-only checks: trained models have no SQL equivalent) -------------
+@query("knn_impute_within")
+def q_knn_impute_within(spark, sf):
+    """Donors of the same sector only."""
+    from ..operators.impute import knn_impute
+    _, test = _train_test(_panel(spark, sf))
+    t = test.select("ID", "SECTOR", *HISTORY_COLS)
+    return rounded(knn_impute(t, HISTORY_COLS, k=5, key="ID", within=["SECTOR"]))
+
 
-from pyspark.ml.tuning import ParamGridBuilder  # noqa: E402
+# ---- models (rows-only checks: trained models have no SQL equivalent) -------------
 
 from ..operators import models  # noqa: E402
-from ..schema import BENCH_FEATURES  # noqa: E402
-from . import benchmark  # noqa: E402
+from ..schema import BENCH_FEATURES, IMPORTANCE_PLOT_THRESHOLD, MODEL_NAMES  # noqa: E402
+from ..sources.panel import stage_folder  # noqa: E402
+from . import benchmark, reporting, science  # noqa: E402
 
 
 def _model_frames(spark, sf):
@@ -429,104 +453,131 @@ def _model_frames(spark, sf):
     return models.prepare(train, BENCH_FEATURES), models.prepare(test, BENCH_FEATURES)
 
 
+def _date_cv(spark, sf):
+    return benchmark.stored_date_cv(spark, lambda: _model_frames(spark, sf)[0], stage_folder(spark, sf, "benchmark"))
+
+
 @query("rf_date_cv")
 def q_rf_date_cv(spark, sf):
-    return benchmark.date_cv(_model_frames(spark, sf)[0])[0]
+    return _date_cv(spark, sf)[0]
 
 
 @query("rf_importance")
 def q_rf_importance(spark, sf):
-    imps = benchmark.date_cv(_model_frames(spark, sf)[0])[1]
+    imps = _date_cv(spark, sf)[1]
     return imps.groupBy("feature").agg(F.avg("importance").alias("importance")).orderBy(F.desc("importance"))
 
 
-@query("dt_fit")
-def q_dt_fit(spark, sf):
-    train, _ = _model_frames(spark, sf)
-    m = models.decision_tree(11, 50).fit(train)
-    return metrics.confusion(models.score(m, train).select("label", "pred").withColumn("label", F.col("label").cast("int")))
+def _science(spark, sf) -> science.Science:
+    """The science flow over the 120 features of the train side's whole rows."""
+    from .processing import train_input
+    folder = stage_folder(spark, sf, "science")
+
+    def rows():
+        return train_input(_train_test(_panel(spark, sf))[0])
+
+    return science.Science(spark, read_or_compute(spark, f"{folder}/input", rows), folder)
+
 
+@query("train_test_split")
+def q_train_test_split(spark, sf):
+    """The four frames of the split, told apart by ``frame``; features and target by ID."""
+    parts = split.train_test_frames(_panel(spark, sf).select("ID", *HISTORY_COLS, TARGET), 0.25, seed=0)
+    named = [f.withColumn("frame", F.lit(name)) for name, f in zip(("X_train", "X_test", "y_train", "y_test"), parts)]
+    out = named[0]
+    for part in named[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return rounded(out.withColumn(TARGET, F.col(TARGET).cast("double")))
 
-def _dt_grid(train):
-    folded = split.stratified_folds(train, 2, seed=0, label="label")
-    est = models.decision_tree(2, 1)
-    grid = ParamGridBuilder().addGrid(est.maxDepth, [2, 3, 4, 5, 6]).addGrid(est.impurity, ["gini", "entropy"]).build()
-    return models.grid_search(est, grid, folded)
+
+@query("dt_fit")
+def q_dt_fit(spark, sf):
+    """Confusion of the base tree on the rows it was fitted on."""
+    flow = _science(spark, sf)
+    return metrics.confusion(reporting.fitted_scores(flow.base_tree, flow.train, MODEL_NAMES[0]))
 
 
 @query("dt_grid")
 def q_dt_grid(spark, sf):
-    train, _ = _model_frames(spark, sf)
-    return _dt_grid(train)[1]
+    flow = _science(spark, sf)
+    return flow.tree_search("all", flow.frame)
 
 
 @query("select_features")
 def q_select_features(spark, sf):
-    train, _ = _model_frames(spark, sf)
-    cvm, _ = _dt_grid(train)
-    imps = models.importances(cvm.bestModel, BENCH_FEATURES)
-    df = spark.createDataFrame(imps, "feature string, importance double")
-    return report.importance_table(df, 0.01)
+    """The projected train and test rows, told apart by ``side``."""
+    flow = _science(spark, sf)
+    sides = [flow.selection.apply(d).withColumn("side", F.lit(n)) for n, d in (("train", flow.train), ("test", flow.test))]
+    return sides[0].unionByName(sides[1])
 
 
-@query("importance_table")
-def q_importance_table(spark, sf):
-    train, _ = _model_frames(spark, sf)
-    m = models.decision_tree(11, 50).fit(train)
-    df = spark.createDataFrame(models.importances(m, BENCH_FEATURES), "feature string, importance double")
-    return report.importance_table(df, 0.05)
+@query("dt_grid_selected")
+def q_dt_grid_selected(spark, sf):
+    flow = _science(spark, sf)
+    return flow.tree_search("selected", flow.frame_selected)
 
 
-def _test_metrics(model, test, name):
-    s = models.score(model, test).select(F.col("label").cast("int").alias("label"), "pred", "proba")
-    return metrics.metrics_long({name: metrics.model_metrics(s)})
+@query("importance_table")
+def q_importance_table(spark, sf):
+    return report.importance_table(_science(spark, sf).selection.table(spark).select("feature", "importance"), IMPORTANCE_PLOT_THRESHOLD)
 
 
 @query("gbt_fit")
 def q_gbt_fit(spark, sf):
-    train, test = _model_frames(spark, sf)
-    return _test_metrics(models.gradient_boosting().fit(train), test, "gradient_boosting")
+    flow = _science(spark, sf)
+    return metrics.metrics_long(reporting.fitted_scores(flow.base_boosting, flow.test, "gradient_boosting"))
 
 
 @query("gbt_staged")
 def q_gbt_staged(spark, sf):
-    train, _ = _model_frames(spark, sf)
-    folded = split.stratified_folds(train, 2, seed=0, label="label")
-    return models.staged_gbt(folded)[0]
+    """All 38 settings of the four stages with their scores over 5 folds."""
+    return science.stage_tables(_science(spark, sf).boosting_search())
+
+
+@query("gbt_classic")
+def q_gbt_classic(spark, sf):
+    """The stochastic search: row and column subsets."""
+    return science.stage_tables(_science(spark, sf).boosting_search("classic", science.classic_plan()))
 
 
 @query("mlp_fit")
 def q_mlp_fit(spark, sf):
-    train, test = _model_frames(spark, sf)
-    m = models.mlp(len(BENCH_FEATURES), max_iter=10).fit(train)
-    return _test_metrics(m, test, "neural_network")
+    flow = _science(spark, sf)
+    return metrics.metrics_long(reporting.fitted_scores(flow.network, flow.test, MODEL_NAMES[-1]))
 
 
 @query("model_report")
 def q_model_report(spark, sf):
-    train, test = _model_frames(spark, sf)
-    dt = models.decision_tree(11, 50).fit(train)
-    gb = models.gradient_boosting().fit(train)
-    return _test_metrics(dt, test, "base_decision_tree").unionByName(_test_metrics(gb, test, "gb_n_estimators"))
+    """Fit-and-evaluate report of the base tree: confusion, accuracy, cross-validated scores, ROC."""
+    return reporting.fit_report(_science(spark, sf))
 
 
 @query("cv_scores")
 def q_cv_scores(spark, sf):
     """Cross-validated accuracy / precision / recall (mean and population std)."""
-    train, _ = _model_frames(spark, sf)
-    folded = materialize(split.stratified_folds(train.select("ID", "features", "label"), 10, seed=0, label="label"))
-    rows = []
-    for k in range(10):
-        m = models.decision_tree(11, 50).fit(folded.where(F.col("fold") != k))
-        s = models.score(m, folded.where(F.col("fold") == k)).select(
-            F.col("label").cast("int").alias("label"), "pred")
-        rows.append(metrics.binary_metrics(s).select("accuracy", "precision", "recall"))
-    allf = rows[0]
-    for r in rows[1:]:
-        allf = allf.unionByName(r)
-    out = allf.unpivot([], ["accuracy", "precision", "recall"], "metric", "score") \
-        .groupBy("metric").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
-    return out
+    return reporting.cv_summary(_science(spark, sf).out_of_fold())
+
+
+@query("science_metrics")
+def q_science_metrics(spark, sf):
+    """All metrics of the seven models on the held-out rows."""
+    return metrics.metrics_long(_science(spark, sf).predictions())
+
+
+@query("science_metrics_map")
+def q_science_metrics_map(spark, sf):
+    return metrics.metrics_map(metrics.metrics_long(_science(spark, sf).predictions()))
+
+
+@query("science_accuracy")
+def q_science_accuracy(spark, sf):
+    return report.model_accuracy(_science(spark, sf).predictions())
+
+
+@query("science_metadata")
+def q_science_metadata(spark, sf):
+    flow = _science(spark, sf)
+    return report.run_metadata(flow.test, flow.features, flow.selection.columns)
 
 
 # ---- end-to-end flows (rows-only) ----------------------------------------------------

@@ -244,9 +244,11 @@ SELECT {_cols(PANEL_COLS[:-1])}, round(VOLUME_3 / 2, 6) AS RATIO_3,
 
 @oracle("drop_mostly_missing")
 def _drop_mostly_missing():
-    # RET_k of the first 24 months misses k of 24 values at least; kept while not more than half is missing
-    return with_panel("SELECT l_suppkey, seq, " + ", ".join(_r(f"RET_{k}", f"RET_{k}") for k in range(1, 12))
-                      + " FROM pf_lag WHERE seq <= 24")
+    lags = [1, 20, 40, 60, *range(70, 85)]
+    return with_panel("""SELECT l_suppkey, seq, "column", round(value, 6) AS value FROM far
+WHERE value IS NOT NULL AND "column" IN (SELECT "column" FROM far GROUP BY 1 HAVING count(*) - count(value) <= 0.95 * count(*))""",
+                      "\nfar AS (" + "\nUNION ALL ".join(
+                          f"SELECT l_suppkey, seq, 'RET_{k}' AS \"column\", CAST(lag(ret, {k - 1}) OVER (PARTITION BY l_suppkey ORDER BY month) AS DOUBLE) AS value FROM pf_mask" for k in lags) + ")")
 
 
 @oracle("drop_correlated")
@@ -259,12 +261,20 @@ FROM lineitem"""
 @oracle("calendar_features")
 def _calendar_features():
     return """
-SELECT l_orderkey, l_linenumber, CAST(isodow(l_shipdate) - 1 AS INTEGER) AS day_of_week,
-       CAST(month(l_shipdate) AS INTEGER) AS month_of_year, CAST(quarter(l_shipdate) AS INTEGER) AS quarter,
-       CAST(CAST(l_shipdate AS DATE) = last_day(l_shipdate) AS INTEGER) AS month_end
+SELECT l_orderkey, l_linenumber, CAST(month(l_shipdate) AS INTEGER) AS month, CAST(day(l_shipdate) AS INTEGER) AS day,
+       CAST(isodow(l_shipdate) - 1 AS INTEGER) AS dayofweek
 FROM lineitem"""
 
 
+@oracle("train_test_split")
+def _train_test_split():
+    cols = ", ".join(_cols([c]) for c in RET + VOL)
+    none = ", ".join(f"NULL AS {c}" for c in RET + VOL)
+    return with_panel(f"""SELECT ID, {cols}, CAST(NULL AS DOUBLE) AS RET, CASE WHEN test THEN 'X_test' ELSE 'X_train' END AS frame FROM parts
+UNION ALL SELECT ID, {none}, CAST(RET AS DOUBLE), CASE WHEN test THEN 'y_test' ELSE 'y_train' END FROM parts""", """
+parts AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(ID AS VARCHAR) || ':0'), ID) <= ceil(0.25 * count(*) OVER ()) AS test FROM panel)""")
+
+
 @oracle("left_join_chain")
 def _left_join_chain():
     cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -672,9 +682,14 @@ def _prune_by_name():
 
 # ---- kNN imputation of the test rows (odd DATE), all 40 history columns ----------
 
-@oracle("knn_impute")
-def _knn_impute():
+@oracle("user_indicator")
+def _user_indicator():
+    return indicator_sql({"SMA": list(range(5, N + 1))}).replace(" AS SMA_", " AS OWN_")
+
+
+def _knn_sql(within: str | None = None) -> str:
     cols = RET + VOL
+    same = f" WHERE r.{within} = d.{within}" if within else ""
     ss = " + ".join(f"coalesce((r.{c} - d.{c}) * (r.{c} - d.{c}), 0)" for c in cols)
     common = " + ".join(f"CAST(r.{c} IS NOT NULL AND d.{c} IS NOT NULL AS INTEGER)" for c in cols)
     anynull = " OR ".join(f"{c} IS NULL" for c in cols)
@@ -684,7 +699,7 @@ def _knn_impute():
     ctes = f"""
 te AS (SELECT * FROM panel WHERE DATE % 2 = 1),
 pairs AS (SELECT r.ID AS rid, d.ID AS did, {ss} AS ss, {common} AS n_common
-          FROM (SELECT * FROM te WHERE {anynull}) r, te d),
+          FROM (SELECT * FROM te WHERE {anynull}) r, te d{same}),
 cells AS ({cells}),
 dv AS ({dv}),
 cand AS (SELECT c.rid, c.col, v.did, v.val, p.ss * {len(cols)}.0 / p.n_common AS d2
@@ -697,7 +712,18 @@ wide AS (SELECT rid, {', '.join(f"max(imp) FILTER (WHERE col = '{c}') AS i_{c}"
          FROM best GROUP BY rid),
 mu AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in cols)} FROM te)"""
     sel = ", ".join(_r(f"coalesce(t.{c}, w.i_{c}, mu.m_{c})", c) for c in cols)
-    return with_panel(f"SELECT t.ID, {sel} FROM te t LEFT JOIN wide w ON w.rid = t.ID, mu", ctes)
+    key = f", t.{within}" if within else ""
+    return with_panel(f"SELECT t.ID{key}, {sel} FROM te t LEFT JOIN wide w ON w.rid = t.ID, mu", ctes)
+
+
+@oracle("knn_impute")
+def _knn_impute():
+    return _knn_sql()
+
+
+@oracle("knn_impute_within")
+def _knn_impute_within():
+    return _knn_sql("SECTOR")
 
 
 @oracle("history_stats")

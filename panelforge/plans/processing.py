@@ -23,11 +23,11 @@ def model_input(train: DataFrame, test: DataFrame, n_days: int = 5, impute: bool
         train = clean.drop_any_missing(clean.drop_all_missing(train, n_days))
         train, test = materialize(groupstats.group_stats(train)), materialize(groupstats.group_stats(test))
         empty = ind.all_null_indicator_columns(train)   # decided on train, from series starts only
-        pos = {nm: range(1, 21) for nm in ind.INDICATORS}
-        train, test = ind.add_indicators(train, positions=pos), ind.add_indicators(test, positions=pos)
+        names = [c for c in ind.indicator_names(all_positions=True) if c not in empty]
+        names = [c for c in names if c not in set(clean.prune_names(names))]  # only these are computed
+        train, test = ind.add_named_indicators(train, names), ind.add_named_indicators(test, names)
         keep_id = [c for c in ID_COLS if c != "ID"]
         train, test = clean.drop_id_cols(train, keep_id), clean.drop_id_cols(test, keep_id)
-        train, test = train.drop(*empty), test.drop(*empty)
         train, test, _ = clean.prune_by_name(train, test, TARGET)
         # stored before the check for infinities, which else computes every feature once more;
         # after the group statistics and indicators, train rows with gaps are dropped
@@ -37,3 +37,8 @@ def model_input(train: DataFrame, test: DataFrame, n_days: int = 5, impute: bool
     if impute:
         test = knn_impute(test, feats, key="ID")
     return train, test, feats
+
+
+def train_input(train: DataFrame) -> DataFrame:
+    """The train side of ``model_input`` alone: key, features and target."""
+    return model_input(train, train.drop(TARGET).limit(0), impute=False)[0]

@@ -8,7 +8,9 @@ executor - reads them instead of recomputing.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,7 +75,8 @@ def write_any(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         df.write.mode(mode).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written to ``path`` as a whole."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -90,19 +93,38 @@ def read_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFr
                     recompute: bool = False) -> DataFrame:
     """Read a stage's stored output if present (and not ``recompute``), else
     compute it, store it and read it back."""
-    if not recompute and _exists(spark, path):
+    if not recompute and stored(spark, path):
         return spark.read.parquet(path)
     return write_stage(compute(), path)
 
 
-def append_metrics(long: DataFrame, path: str, run_id: str) -> None:
-    """Versioned metrics sink: one partition per run."""
-    long.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+def write_version(df: DataFrame, path: str, run_id: str, fmt: str = "parquet") -> None:
+    """Versioned sink (metrics, chart data): one partition a run.  A run that is
+    repeated replaces its own partition and leaves the others, so a retry leaves
+    one copy."""
+    if not re.fullmatch(r"[A-Za-z0-9._:-]+", run_id):
+        raise ValueError(f"not a plain run id: {run_id!r}")
+    (df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id").format(fmt).save(path))
 
 
-def write_report_table(df: DataFrame, path: str) -> None:
-    """Chart data as JSON lines (one file set per table)."""
-    df.write.mode("overwrite").json(path)
+def read_version(spark: SparkSession, path: str, run_id: str | None = None, fmt: str = "parquet",
+                 schema: T.StructType | None = None) -> DataFrame:
+    """One version of a sink, by default that of the greatest ``run_id``; only its
+    partition is read.  JSON needs the ``schema`` that was written."""
+    reader = spark.read.option("basePath", path)
+    if schema is not None:
+        reader = reader.schema(schema)
+    if run_id is None:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        folders = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        runs = [unquote(f.removeprefix("run_id=")) for f in folders if f.startswith("run_id=")]
+        if not runs:
+            raise ValueError(f"no version under {path}")
+        run_id = max(runs)
+    return reader.format(fmt).load(f"{path.rstrip('/')}/run_id={run_id.replace(':', '%3A')}").drop("run_id")
 
 
 def write_submission(pred: DataFrame, path: str, key: str = "ID", target: str = "RET") -> None:

@@ -17,6 +17,7 @@ Same-date statistics use aggregate + join, never a window over a date.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import group_median, safe_div
 from ..schema import N_LAGS
+from ..session import ensure_checkpoint_dir
 from ..session import materialize as _materialize
 from .tables import table
 
@@ -107,6 +109,13 @@ def _state(spark, sf_dir: str) -> tuple:
     return tuple(found)
 
 
+def stage_folder(spark, sf_dir: str, name: str) -> str:
+    """Where stages computed from the panel of ``sf_dir`` are kept: one folder for each
+    state of the input files, under the shared checkpoint folder."""
+    state = hashlib.sha256(repr(_state(spark, sf_dir)).encode()).hexdigest()[:16]
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{state}"
+
+
 def series_of(spark, sf_dir: str) -> DataFrame:
     """One row per supplier and month: seq, fwd, and the masked return and volume."""
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
