@@ -88,13 +88,13 @@ class Search:
         self.best = self.settings[max(range(len(means)), key=lambda i: (means[i], -i))]
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(setting, params, mean_score, std_score, best); the std is that of the population."""
+        """(setting, params, mean_score, std_score, fold_scores, best); the std is that of the population."""
         rows = []
         for i, (params, scores) in enumerate(zip(self.settings, self.scores)):
             mean = sum(scores) / len(scores)
             std = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
-            rows.append((i, {k: str(v) for k, v in params.items()}, mean, std, params is self.best))
-        return spark.createDataFrame(rows, "setting int, params map<string,string>, mean_score double, std_score double, best boolean")
+            rows.append((i, {k: str(v) for k, v in params.items()}, mean, std, list(scores), params is self.best))
+        return spark.createDataFrame(rows, "setting int, params map<string,string>, mean_score double, std_score double, fold_scores array<double>, best boolean")
 
 
 def grid(**values: Sequence) -> list[Settings]:
@@ -103,25 +103,42 @@ def grid(**values: Sequence) -> list[Settings]:
 
 
 def search(make: Callable[..., object], settings: Sequence[Settings], frame: DataFrame, k: int,
-           parallelism: int = PARALLELISM) -> Search:
-    """Accuracy of ``make(**setting)`` on each of the ``k`` folds of ``frame``."""
+           parallelism: int = PARALLELISM, known: Callable[[Settings], list[float] | None] = lambda s: None) -> Search:
+    """Accuracy of ``make(**setting)`` on each of the ``k`` folds of ``frame``.
+
+    Fits that must come out equal are done once: boosted models of fewer rounds are the
+    first rounds of the longest one; a greater ``maxDepth`` changes nothing if no tree
+    has grown as deep as a smaller one allows; and ``known`` may return the scores of a
+    setting that an earlier stage has tried."""
+    scores: list[list[float]] = [list(known(s) or [0.0] * k) for s in settings]
     shared: dict[tuple, list[int]] = {}
     for i, s in enumerate(settings):
-        rest = tuple(sorted((a, b) for a, b in s.items() if a != "maxIter"))
-        shared.setdefault(rest, []).append(i)
-    scores = [[0.0] * k for _ in settings]
+        if known(s) is None:
+            rest = tuple(sorted((a, b) for a, b in s.items() if a not in ("maxIter", "maxDepth")))
+            shared.setdefault(rest, []).append(i)
+
+    def score(model, members: list[int], fold: int) -> None:
+        """All members are prefixes of the model and scored in one pass."""
+        held_out = frame.where(F.col("fold") == fold).select("features", "label")
+        for i in members:
+            part = first_rounds(model, settings[i]["maxIter"]) if isinstance(model, GBTClassificationModel) and "maxIter" in settings[i] else model
+            held_out = part.copy({part.predictionCol: f"p{i}", part.rawPredictionCol: f"r{i}", part.probabilityCol: f"q{i}"}).transform(held_out)
+        got = held_out.agg(*[F.avg((F.col(f"p{i}") == F.col("label")).cast("double")).alias(f"p{i}") for i in members]).first()
+        for i in members:
+            scores[i][fold] = float(got[f"p{i}"] or 0.0)
 
     def fit(members: list[int], fold: int) -> None:
-        longest = max(members, key=lambda i: settings[i].get("maxIter", 0))
-        model = make(**settings[longest]).fit(frame.where(F.col("fold") != fold))
-        held_out, names = frame.where(F.col("fold") == fold).select("features", "label"), []
-        for i in members:  # all prefixes are scored in one pass
-            part = first_rounds(model, settings[i]["maxIter"]) if len(members) > 1 else model
-            names.append(f"p{i}")
-            held_out = part.copy({part.predictionCol: names[-1], part.rawPredictionCol: f"r{i}", part.probabilityCol: f"q{i}"}).transform(held_out)
-        got = held_out.agg(*[F.avg((F.col(c) == F.col("label")).cast("double")).alias(c) for c in names]).first()
-        for i, c in zip(members, names):
-            scores[i][fold] = float(got[c] or 0.0)
+        rest = frame.where(F.col("fold") != fold)
+        left = sorted(members, key=lambda i: settings[i].get("maxDepth", 0))
+        while left:
+            depth = settings[left[0]].get("maxDepth")
+            mine = [i for i in left if settings[i].get("maxDepth") == depth]
+            longest = max(mine, key=lambda i: settings[i].get("maxIter", 0))
+            model = make(**settings[longest]).fit(rest)
+            if isinstance(model, GBTClassificationModel) and depth is not None and max(t.depth for t in model.trees) < depth:
+                mine = [i for i in left if settings[i].get("maxIter", 0) <= settings[longest].get("maxIter", 0)]
+            score(model, mine, fold)
+            left = [i for i in left if i not in mine]
 
     in_parallel([lambda m=m, f=f: fit(m, f) for m in shared.values() for f in range(k)], parallelism)
     return Search(list(settings), scores)
@@ -141,6 +158,10 @@ class Staged:
     def make(self, **params) -> GBTClassifier:
         return GBTClassifier(seed=self.seed, maxMemoryInMB=1024, **{**dict(self.start), **params})
 
+    def whole(self, params: Settings) -> tuple:
+        """A setting with the values that are not up to it, comparable."""
+        return tuple(sorted((k, str(v)) for k, v in {**dict(self.start), **params}.items()))
+
 
 # ---- stored models -----------------------------------------------------------------
 

@@ -21,6 +21,8 @@ from ..sources.io import read_or_compute
 from ..sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Queries that need a whole staged search (many fits) if it is not stored yet.
+SEARCHES = ["gbt_staged", "science_metrics", "science_metrics_map", "science_accuracy", "gbt_classic"]
 
 
 def query(name: str):

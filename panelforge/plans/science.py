@@ -101,7 +101,7 @@ class Science:
         return tuning.keep_model(f"{self.folder}/model_{name}", lambda: tuning.pipeline(estimator(), frame, features), self.spark)
 
     def _search(self, name: str, run) -> DataFrame:
-        """The table of a search: (setting, params, mean_score, std_score, best)."""
+        """The table of a search: (setting, params, mean_score, std_score, fold_scores, best)."""
         return self._stored(f"search_{name}", lambda: run().table(self.spark).coalesce(1)).orderBy("setting")
 
     @cached_property
@@ -132,10 +132,12 @@ class Science:
         """The table of each stage; a stage that is stored is read."""
         plan = plan or self.plan or hist_plan()
         folds = self._folded("selected", self.frame_selected, self.boost_folds)
-        best, out = {}, {}
+        best, out, seen = {}, {}, {}
         for stage, settings in plan.stages:
             tried = [{**best, **s} for s in settings]
-            out[stage] = self._search(f"{name}_{stage}", lambda: tuning.search(plan.make, tried, folds, self.boost_folds))
+            out[stage] = self._search(f"{name}_{stage}", lambda: tuning.search(
+                plan.make, tried, folds, self.boost_folds, known=lambda s: seen.get(plan.whole(s))))
+            seen |= {plan.whole(dict(r["params"])): list(r["fold_scores"]) for r in out[stage].collect()}
             best = best_of(out[stage])
         return out
 

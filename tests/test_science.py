@@ -67,6 +67,26 @@ def test_search_scores_each_setting_on_each_fold(flow):
     assert tuning.search(make, settings, folds, 3, parallelism=1).scores == found.scores
 
 
+def test_shared_fits_score_like_separate_ones(flow):
+    folds = tuning.folded(flow.frame, 2)
+    fitted = []
+
+    def make(**params):
+        fitted.append(params)
+        return GBTClassifier(seed=1, minInstancesPerNode=12, **params)
+
+    settings = tuning.grid(maxDepth=[1, 3, 8, 12], maxIter=[2, 5])
+    found = tuning.search(make, settings, folds, 2)
+    assert len(fitted) < 8  # the deepest trees stop at their leaves' size
+    for s, scores in zip(settings, found.scores):
+        for k in range(2):
+            m = GBTClassifier(seed=1, minInstancesPerNode=12, **s).fit(folds.where(F.col("fold") != k))
+            assert scores[k] == m.transform(folds.where(F.col("fold") == k)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    fitted.clear()
+    again = tuning.search(make, settings[:2], folds, 2, known=lambda s: found.scores[settings.index(s)])
+    assert again.scores == found.scores[:2] and not fitted
+
+
 def test_first_of_equal_settings_wins():
     assert tuning.Search([{"a": 1}, {"a": 2}, {"a": 3}], [[0.5], [0.6], [0.6]]).best == {"a": 2}
 
