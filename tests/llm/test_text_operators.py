@@ -353,6 +353,44 @@ def test_op5_notices_without_anchor_words_and_in_long_lines(spark, tmp_path):
     assert got[102]["n_candidates"] == got[102]["n_confirmed"] == 1 and all(got[k]["families"] == "" for k, _ in rows if k < 100 or k >= 200)
 
 
+def test_op5_versions_names_and_denials(spark, tmp_path):
+    cases = {"Licensed under the GNU General Public License, version 2.": "gpl-2.0", "Licensed under CC BY-SA 3.0": "cc-by-sa-3.0", "Licensed under CC BY 3.0": "cc-by-3.0",
+             "Licensed under the Apache License, Version 1.1": "apache-1.1", "Licensed under the GNU Affero General Public License, version 3": "agpl-3.0",
+             "Not licensed under the MIT License.": "", "This work is not licensed under the GNU General Public License, version 3.": "",
+             "Licensed under the Apache License, Version 3.0.": "", "Licensed under CC BY-SA 5.0.": "", "Licensed under the General License.": "",
+             "Licensed under the GNU General Public License, version 3.": "gpl-3.0", "Licensed under the GNU Lesser General Public License, version 3.": "lgpl-3.0",
+             "licensed UNDER the  mit license": "mit", "See the manual. Licensed under the Apache License, Version 2.0. All rights reserved.": "all-rights-reserved,apache-2.0"}
+    fill = [(i, f"filler line number {i} of the text") for i in range(60)] + [(1000 + i, f"the licence of driver {i} was lost, no copyright or software was found under it") for i in range(60)]
+    docs = spark.createDataFrame(fill + [(100 + i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["families"] for r in licenses.op5_license_scan(spark, write(docs, tmp_path, "documents")).collect()}
+    assert {t: got[100 + i] for i, t in enumerate(cases)} == cases and not any(got[k] for k, _ in fill)
+
+
+def test_op5_stretches_against_brute_force(spark):
+    r = random.Random(12)
+    some = [w for t in licenses.ALL for w in t.words]
+    rows = []
+    for i in range(60):
+        w = [r.choice(some) for _ in range(r.randint(0, 30))]
+        t = r.choice(licenses.ALL).words
+        rows.append((str(i), w[:10] + [x for x in t if r.random() < 0.9] + w[10:]))
+    got = {(q["place"], q["t"]): (q["share"], q["first"], q["last"]) for q in licenses.stretches(spark.createDataFrame(rows, "place string, w array<string>")).collect()}
+    for place, w in rows:
+        for t, template in enumerate(licenses.ALL):
+            hits = [(at, f"{a} {b}") for at, (a, b) in enumerate(zip(w, w[1:])) if f"{a} {b}" in template.pairs]
+            x = lambda at: at * 1000 // template.span  # noqa: E731,B023
+            best = max(((len({p for b, p in hits if x(a) <= x(b) <= x(a) + 1000}), -a, max(b for b, _ in hits if x(a) <= x(b) <= x(a) + 1000)) for a, _ in hits), default=None)
+            assert (got.get((place, t)) is None) if best is None else got[(place, t)] == (best[0] / len(template.pairs), -best[1], best[2])
+
+
+def test_op5_gate_lets_every_notice_through():
+    for t in licenses.ALL:
+        need = -(-licenses.CONFIRM * len(t.pairs) // 1)
+        if any(c in w for c in licenses.GATE for w in t.must):
+            continue
+        assert sum(not any(c in p for c in licenses.GATE) for p in t.pairs) < need
+
+
 # ---- 7 html ----------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body><header class="site">Site name</header><nav><a href="/">Home {i}</a></nav>
