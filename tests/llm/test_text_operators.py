@@ -272,7 +272,7 @@ def brute_anchors(text, hashed):
     """Closed syncmers of the pieces, straight from the definition."""
     import regex
 
-    pieces = regex.findall(syncmers.PIECE, text)
+    pieces = regex.findall(syncmers.PIECE, text, regex.V1)
     if len(pieces) < syncmers.K:
         return list(range(len(pieces)))
     s = [hashed[a, b] for a, b in zip(pieces, pieces[1:])]
@@ -290,12 +290,12 @@ def test_anchors_follow_the_definition(spark):
     from pyspark.sql import functions as F
 
     texts = ["", "ab", "aaaa" * 40, long_text(8, 80), "one, two;  three?! " * 6, "漢字仮名交じり文" * 9]
-    pairs = sorted({p for t in texts for q in [regex.findall(syncmers.PIECE, t)] for p in zip(q, q[1:])})
+    pairs = sorted({p for t in texts for q in [regex.findall(syncmers.PIECE, t, regex.V1)] for p in zip(q, q[1:])})
     hashed = {(r["a"], r["b"]): r["h"] for r in spark.createDataFrame(pairs, "a string, b string").withColumn("h", F.xxhash64(F.xxhash64("a"), F.xxhash64("b"))).collect()}
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     for r in syncmers.with_anchors(df, "text", "anchors").collect():
         assert [a["pos"] for a in r["anchors"]] == brute_anchors(r["text"], hashed)
-        assert "".join(regex.findall(syncmers.PIECE, r["text"])) == r["text"]
+        assert "".join(regex.findall(syncmers.PIECE, r["text"], regex.V1)) == r["text"]
 
 
 def test_op2_rows(spark, awkward, empty, tmp_path):
@@ -322,6 +322,65 @@ def test_positions_line_up(spark):
     assert len(pairs) > 20 and max(map(moved.count, set(moved))) > 0.9 * len(moved)
 
 
+def near(spark, pairs):
+    """Likeness of each pair of texts by the operator's own expressions."""
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    df = syncmers.with_anchors(syncmers.with_anchors(df, "a", "x"), "b", "y")
+    df = syncmers.with_likeness(syncmers.sketch(syncmers.sketch(df, "x", "sx"), "y", "sy"), "sx", "sy", "near")
+    return [(r["near"], r["x"], r["y"], r["sx"], r["sy"], r["sx_whole"], r["sy_whole"]) for r in df.orderBy("i").collect()]
+
+
+def test_one_character_costs_only_the_anchors_around_it(spark):
+    r = random.Random(21)
+    run = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(3000))
+    cjk = "".join(chr(r.randint(0x4E00, 0x9FA0)) for _ in range(400))
+    prose = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(300))
+    for text in (run, cjk, prose):
+        for other in (text[:10] + "q" + text[10:], text[1:], text[:50] + text[51:]):
+            got = near(spark, [(text, other)])[0]
+            one, two = ({a["hash"] for a in got[i]} for i in (1, 2))
+            assert len(one ^ two) <= 2 * 2 * syncmers.K and got[0] > 0.8, (text[:20], len(one), len(one ^ two), got[0])
+
+
+def test_order_counts(spark):
+    from conftest import long_text
+    blocks = [long_text(100 + i, 60) for i in range(12)]
+    same, turned, half, other = (g[0] for g in near(spark, [(" ".join(x), " ".join(y)) for x, y in (
+        (blocks, blocks), (blocks, blocks[::-1]), (blocks, blocks[:6] + blocks[::-1][:6]), (blocks, [long_text(300 + i, 60) for i in range(12)]))]))
+    assert same == 1.0 and turned < 0.25 and 0.4 < half < 0.75 and other < 0.1
+
+
+def test_likeness_against_brute_force(spark, monkeypatch):
+    """From the anchors alone: the least hashes, the longest rising run by trying all."""
+    import bisect
+    r = random.Random(22)
+    words = ["".join(r.choice("etaoin") for _ in range(r.randint(1, 6))) for _ in range(200)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    pairs = [("", ""), ("", "a"), ("one", "one")]
+    for n in (3, 20, 90, 700):
+        a = text(n)
+        pairs += [(a, a), (a, a[: len(a) // 2] + text(n // 2)), (a, text(n)), (a + " " + a, a), (a[len(a) // 3:], a)]
+    for (near_, x, y, sx, sy, wx, wy), (a, b) in zip(near(spark, pairs), pairs):
+        def entries(anchors):
+            first = {}
+            for p in anchors:
+                first.setdefault(p["hash"] & (2**31 - 1), p["pos"])
+            return sorted(first.items())
+
+        ex, ey = entries(x), entries(y)
+        kx, ky = (max(syncmers.SKETCH, -(-len(e) // syncmers.SHARE)) for e in (ex, ey))
+        assert sx == [h << 32 | p for h, p in ex[:kx]] and wx == (len(ex) <= kx) and wy == (len(ey) <= ky)
+        limit = min(2**32 if wx else ex[kx - 1][0], 2**32 if wy else ey[ky - 1][0])
+        ex, ey = ([e for e in es if e[0] <= limit] for es in (ex, ey))
+        places = [dict(ey)[h] for h, _ in sorted(ex, key=lambda e: e[1]) if h in dict(ey)]
+        tails = []
+        for p in places:
+            at = bisect.bisect_left(tails, p)
+            tails[at:at + 1] = [p]
+        assert near_ == (1.0 if not ex and not ey else pytest.approx(2 * len(tails) / (len(ex) + len(ey))))
+        assert a != b or near_ == 1.0
+
+
 # ---- 5 licences ----------------------------------------------------------------
 
 def test_op5_finds_planted_licences(spark, empty, tmp_path):
