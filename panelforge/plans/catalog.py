@@ -207,8 +207,7 @@ def q_left_join_chain(spark, sf):
     li = table(spark, sf, "lineitem")
     sup = table(spark, sf, "supplier")
     nat = table(spark, sf, "nation")
-    out = joins.left_join_chain(li, sup, nat, "l_suppkey", "s_suppkey", "s_nationkey", "n_nationkey",
-                                broadcast_dim=True)  # nation: 25 rows at every scale
+    out = joins.left_join_chain(li, sup, nat, "l_suppkey", "s_suppkey", "s_nationkey", "n_nationkey")
     return rounded(out)
 
 
@@ -599,6 +598,13 @@ def q_model_input(spark, sf):
     return rounded(tr.withColumn("side", F.lit("train")).unionByName(te.withColumn("side", F.lit("test")), allowMissingColumns=True))
 
 
+@query("model_input_train")
+def q_model_input_train(spark, sf):
+    """The train side alone: 120 features and the target of the rows without gaps."""
+    from .processing import train_input
+    return rounded(train_input(_train_test(_panel(spark, sf))[0]))
+
+
 @query("history_stats")
 def q_history_stats(spark, sf):
     p = _panel(spark, sf)

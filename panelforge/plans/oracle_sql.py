@@ -726,6 +726,21 @@ def _knn_impute_within():
     return _knn_sql("SECTOR")
 
 
+@oracle("model_input_train")
+def _model_input_train():
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in PANEL_COLS)
+    ctes, joins, stats = [f"\ntr AS (SELECT * FROM panel WHERE DATE % 2 = 0 AND {whole})"], [], []
+    for lv in LEVELS:
+        aggs = ", ".join(f"median(RET_{s}) AS RET_{s}_{lv}_median, stddev_samp(RET_{s}) AS RET_{s}_{lv}_std" for s in range(1, 6))
+        ctes.append(f"ts_{lv} AS (SELECT DATE, {lv} AS k, {aggs} FROM tr GROUP BY DATE, {lv})")
+        joins.append(f"JOIN ts_{lv} ON ts_{lv}.DATE = p.DATE AND ts_{lv}.k = p.{lv}")
+        stats += [f"RET_{s}_{lv}_{st}" for s in range(1, 6) for st in ("median", "std")]
+    own = [f"{nm}_{q}_{lb}" for nm, pos in PRUNED.items() for q in pos for lb in (2, 5)]
+    there = " AND ".join(f"{c} IS NOT NULL" for c in stats + own)
+    sel = ", ".join([_r(f"p.{c}", c) for c in RET + VOL] + [_r(c, c) for c in stats] + [f"i.{c}" for c in own])
+    return with_panel(f"SELECT p.ID, {sel}, p.RET FROM tr p {' '.join(joins)} JOIN ({indicator_sql(PRUNED, labels=[2, 5])}) i ON i.ID = p.ID WHERE {there}", ",\n".join(ctes))
+
+
 @oracle("history_stats")
 def _history_stats():
     return with_panel("""

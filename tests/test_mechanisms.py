@@ -253,3 +253,13 @@ def test_calendar_has_month_day_and_weekday(spark):
 def test_mostly_missing_is_more_than_95_percent(spark):
     df = spark.range(100).selectExpr("id", "CASE WHEN id < 4 THEN 1 END AS a", "CASE WHEN id < 5 THEN 1 END AS b")
     assert clean.drop_mostly_missing(df, keep=["id"])[1] == ["a"]
+
+
+def test_dimension_is_broadcast_only_while_small(spark):
+    from panelforge.operators.joins import left_join_chain
+    facts = spark.createDataFrame([(1, 10), (2, 20), (3, None)], "f long, k long")
+    mid, dim = spark.createDataFrame([(10, 7), (20, 8)], "mk long, d long"), spark.createDataFrame([(7, "x")], "dk long, name string")
+    for small in (10, 0):
+        got = left_join_chain(facts, mid, dim, "k", "mk", "d", "dk", small)
+        assert [tuple(r) for r in got.select("f", "name").collect()] == [(1, "x")]
+        assert ("broadcast" in got._jdf.queryExecution().logical().toString()) == bool(small)
