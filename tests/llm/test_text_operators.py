@@ -477,6 +477,47 @@ def test_op7_reads_through_the_wrapper(spark, tmp_path):
     assert html_wrapper.op7_html_extract(spark, write(none, tmp_path / "b", "pages")).count() == 0
 
 
+def test_op7_deep_pages(spark, tmp_path):
+    deep = "<body>" + "<div class='a'>" * 20000 + "deep {0}" + "</div>" * 20000 + "<p>end {0}<table>" + "<tr><td>x" * 3000
+    rows = [(i, "http://deep.example/%d" % i, deep.format(i)) for i in range(6)] + [(9, None, "<p>" * 5000 + "one" + "<li>" * 5000 + "two")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_wrapper.op7_html_extract(spark, write(pages, tmp_path, "pages")).collect()}
+    assert all(got[i].startswith(f"deep {i}\nend {i}\nx") for i in range(6)) and got[9] == "one\ntwo"
+
+
+def test_matching_equals_the_recursive_definition():
+    """Against simple tree matching written down as it is defined."""
+    r = random.Random(31)
+
+    def page(depth):
+        if depth == 0 or r.random() < 0.3:
+            return f"<p>{r.choice('abc')}</p>"
+        return f"<{(t := r.choice(['div', 'ul', 'section']))}>" + "".join(page(depth - 1) for _ in range(r.randint(1, 3))) + f"</{t}>"
+
+    def best(a, b):
+        if a.label != b.label:
+            return 0
+        score = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+        for i, x in enumerate(a.children):
+            for j, y in enumerate(b.children):
+                w = best(x, y) if x.children or y.children else (x.label == y.label) * (1 + (x.text == y.text))
+                score[i + 1][j + 1] = max(score[i][j + 1], score[i + 1][j], score[i][j] + w)
+        return 1 + score[-1][-1]
+
+    for _ in range(150):
+        a, b = (html_wrapper.Tree(html_wrapper.parse("<body>" + page(4) + page(3) + "</body>")) for _ in range(2))
+        pairs = []
+        assert html_wrapper.match(a, b, pairs) == best(a, b)
+        assert all(x.label == y.label for x, y in pairs) and len({id(x) for x, _ in pairs}) == len(pairs)
+
+
+def test_op7_the_only_article_is_never_a_side_element():
+    page = '<body><div class="widget"><article><h2 class="alert">Head</h2><p>Body</p></article></div><div class="related"><p>More</p></div></body>'
+    assert html_wrapper.content(page, [], set()) == "Head\nBody"
+    two = '<body><article><p>Own</p></article><div class="related"><article><p>Other</p></article></div></body>'
+    assert html_wrapper.content(two, [], set()) == "Own"
+
+
 def test_op7_copies_are_not_taken_for_a_template():
     near = [f"<body><article><h1>One</h1><p>All of this text stands on every page of the host.</p><p>{i}</p></article></body>" for i in range(12)]
     path, fixed = html_wrapper.induce(near)
