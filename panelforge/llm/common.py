@@ -60,9 +60,9 @@ def crc_mod(column: str, m: int):
 
 
 def sample_per_class(keyed: DataFrame, key: str, cls: str, most: int) -> DataFrame:
-    """At most ``most`` keys of each class, those of the smallest hash.  The row
-    number filter is applied in every partition before the shuffle, so a class
-    that holds a third of all rows sends only ``most`` rows from each."""
+    """At most ``most`` keys of each class, those of the smallest hash.  Up to Spark's
+    limit for it (1,000 by default) the row numbers are cut in every partition before
+    the shuffle; beyond it a class's keys and hashes, nothing else, meet in one window."""
     w = Window.partitionBy(cls).orderBy(F.xxhash64(key), key)
     return keyed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
 

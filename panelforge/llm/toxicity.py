@@ -5,7 +5,12 @@ N-grams of 3 to 5 characters of the lower-cased text are hashed to 2**18
 features; a feature is present or not.  Each is scaled by the log ratio of its
 smoothed share in toxic and in other labelled texts, then a logistic regression
 over the scaled features is fitted.  Both fits use a bounded sample of labelled
-rows; every text is scored whole.
+rows; every text is scored whole, in blocks that overlap by one n-gram.
+
+A NULL or empty text scores by the intercept and its padding alone.  Equal texts score
+equally; of features equally telling the ones of smaller hash are kept; an empty table
+gives no row; other columns are ignored.  Without labels of both classes the one there
+is decides.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ BITS = 18
 SIZES = (3, 4, 5)
 #: Bounds of the labelled sample: texts of either class, and features kept for the regression.
 SAMPLE_DOCS = 4000
-FEATURES = 1 << 14
+FEATURES = 1 << 15
 BLOCK = 1 << 19  # characters looked at at once
 MULTIPLIER = np.uint32(0x9E3779B1)
 
@@ -60,7 +65,7 @@ class Model:
         return float(self.weights[features(text)].sum(dtype=np.float64)) + self.bias
 
 
-def regress(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, l2: float, steps: int = 120) -> tuple[np.ndarray, float]:
+def regress(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, l2: float, steps: int = 150) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient descent over sparse rows of
     present features, with class weights that count both classes alike."""
     at = np.concatenate(rows) if rows else np.zeros(0, np.int32)
@@ -148,6 +153,7 @@ def train_on_labels(docs: DataFrame, labels: DataFrame, docs_per_class: int = SA
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract 1 over the whole ``documents`` table."""
     docs = table(spark, sf_dir, "documents")
     out = score(keyed(docs), train_on_labels(docs, table(spark, sf_dir, "labels")))
     return out.select(F.col("key").alias("doc_id"), F.coalesce(crc_mod("key", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
