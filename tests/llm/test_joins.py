@@ -224,3 +224,12 @@ def test_pipeline_takes_awkward_rows(spark, awkward, empty, tmp_path):
 @pytest.mark.parametrize("n", range(1, 11))
 def test_each_operator_has_a_query(n):
     assert sum(k.startswith(f"op{n}_") for k in catalog.QUERIES) == 1
+
+
+def test_near_duplicates_leave_a_column_named_like_the_helper(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "x", "m"), (1, text, "x", "m"), (1, "other words of the same key stand here", "y", "m"), (2, text, "z", "m"), (None, text, "w", "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string, _row_ string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["_row"], r["_row_"]) for r in got.collect()) == [(0, "w", "m"), (1, "x", "m"), (1, "y", "m")]
