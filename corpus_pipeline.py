@@ -65,19 +65,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         gone = store(joined.where("key <> component_id").select(F.col("key").alias("doc_id")), "dropped")
         return docs.join(if_small(gone, 16), "doc_id", "left_anti").select(*docs.columns)
     # A doc_id stands on several rows: each (doc_id, text) is joined under a key of its own.
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumn("_row", F.when(key.isNotNull(), F.xxhash64(key, text)))
-    named = marked.where("_row IS NOT NULL").select(F.col("_row").alias("key"), text.alias("text"), key.alias("doc_id"))
+    # The key is a hash of both; two different rows of one hash (2^-64 a pair) would be one.
+    text, own = F.coalesce(F.col("text").cast("string"), F.lit("")), "_row"
+    while own in docs.columns:
+        own += "_"
+    marked = docs.withColumn(own, F.when(key.isNotNull(), F.xxhash64(key, text)))
+    named = marked.where(F.col(own).isNotNull()).select(F.col(own).alias("key"), text.alias("text"), key.alias("doc_id"))
     joined = ngram_join.join_components(named.select("key", "text")).select("key", "component_id").distinct()
     counted = named.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     joined = store(joined.join(counted, "key"), "components")
     first = joined.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("least")).select(F.col("least.key").alias("key"))
-    gone = store(joined.join(first, "key", "left_anti").select(F.col("key").alias("_row")), "dropped")
-    again = store(joined.where("n > 1").select(F.col("key").alias("_row")), "repeated")
-    kept = marked.join(if_small(gone, 16), "_row", "left_anti")
+    gone = store(joined.join(first, "key", "left_anti").select(F.col("key").alias(own)), "dropped")
+    again = store(joined.where("n > 1").select(F.col("key").alias(own)), "repeated")
+    kept = marked.join(if_small(gone, 16), own, "left_anti")
     whole = F.struct(*docs.columns)
-    one = kept.join(if_small(again, 16), "_row", "left_semi").groupBy("_row").agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("r")).select("r.*")
-    return kept.join(if_small(again, 16), "_row", "left_anti").select(*docs.columns).unionByName(one)
+    one = kept.join(if_small(again, 16), own, "left_semi").groupBy(own).agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("r")).select("r.*")
+    return kept.join(if_small(again, 16), own, "left_anti").select(*docs.columns).unionByName(one)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
