@@ -65,21 +65,39 @@ class Model:
         return float(self.weights[features(text)].sum(dtype=np.float64)) + self.bias
 
 
+ROWS = 256  # rows of the sample that the regression goes over at once
+
+
 def regress(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, l2: float, steps: int = 150) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient descent over sparse rows of
-    present features, with class weights that count both classes alike."""
-    at = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    x = scale[at]
+    present features, with class weights that count both classes alike.  The rows are
+    taken in blocks, so that beside the features themselves little is held."""
+    blocks = [(i, np.concatenate(rows[i:i + ROWS]), np.repeat(np.arange(len(rows[i:i + ROWS]), dtype=np.int32), [len(r) for r in rows[i:i + ROWS]]))
+              for i in range(0, len(rows), ROWS)]
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
-    norm = np.bincount(of, weights=x * x, minlength=len(rows)) + 1
-    rate = 1 / (0.25 * float((weight * norm).sum()) + l2)
+
+    def by_row(values: np.ndarray) -> np.ndarray:
+        """The sum of ``values`` over each row's features."""
+        out = np.zeros(len(rows))
+        for i, at, of in blocks:
+            part = out[i:i + ROWS]
+            part[:] = np.bincount(of, weights=values[at], minlength=len(part))
+        return out
+
+    def by_feature(values: np.ndarray) -> np.ndarray:
+        """The sum of ``values`` over the rows that hold each feature."""
+        out = np.zeros(len(scale))
+        for i, at, of in blocks:
+            out += np.bincount(at, weights=values[i:i + ROWS][of], minlength=len(scale))
+        return out
+
+    rate = 1 / (0.25 * float((weight * (by_row(scale * scale) + 1)).sum()) + l2)
     w, b = np.zeros(len(scale)), 0.0
     v, c, t = w.copy(), b, 1.0
     for _ in range(steps):
-        z = np.bincount(of, weights=x * v[at], minlength=len(rows)) + c
+        z = by_row(scale * v) + c
         r = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y)
-        w2 = v - rate * (np.bincount(at, weights=x * r[of], minlength=len(scale)) + l2 * v)
+        w2 = v - rate * (scale * by_feature(r) + l2 * v)
         b2 = c - rate * float(r.sum())
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, c = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
@@ -123,7 +141,7 @@ def train(learn: DataFrame, docs_per_class: int = SAMPLE_DOCS, l2: float = 1e-4)
         return pa.record_batch([batch.column(1), pa.array(found, pa.binary())], names=["y", "at"])
 
     got = arrow_map(learn, rows, "y int, at binary").toArrow()
-    at = [np.frombuffer(b.as_py(), "<u2").astype(np.int32) for b in got.column(1)]
+    at = [np.frombuffer(b.as_py(), "<u2") for b in got.column(1)]
     w, b = regress(at, ratio[kept], got.column(0).to_numpy().astype(float), l2)
     weights = np.zeros(1 << BITS)
     weights[kept] = w * ratio[kept]
