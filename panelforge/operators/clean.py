@@ -184,3 +184,9 @@ def calendar_features(df: DataFrame, date_col: str, prefix: str = "") -> DataFra
     """Month, day of the month and day of the week (0 = Monday)."""
     d = F.col(date_col)
     return df.withColumns({f"{prefix}month": F.month(d), f"{prefix}day": F.dayofmonth(d), f"{prefix}dayofweek": F.weekday(d)})
+
+
+def period_features(df: DataFrame, date_col: str, prefix: str = "") -> DataFrame:
+    """Quarter, and whether the day ends its month (1 or 0)."""
+    d = F.col(date_col)
+    return df.withColumns({f"{prefix}quarter": F.quarter(d), f"{prefix}month_end": (F.to_date(d) == F.last_day(d)).cast("int")})

@@ -199,7 +199,7 @@ def q_drop_correlated(spark, sf):
 @query("calendar_features")
 def q_calendar_features(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
-    return clean.calendar_features(li, "l_shipdate").drop("l_shipdate")
+    return clean.period_features(clean.calendar_features(li, "l_shipdate"), "l_shipdate").drop("l_shipdate")
 
 
 @query("left_join_chain")

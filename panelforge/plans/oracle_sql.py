@@ -262,7 +262,8 @@ FROM lineitem"""
 def _calendar_features():
     return """
 SELECT l_orderkey, l_linenumber, CAST(month(l_shipdate) AS INTEGER) AS month, CAST(day(l_shipdate) AS INTEGER) AS day,
-       CAST(isodow(l_shipdate) - 1 AS INTEGER) AS dayofweek
+       CAST(isodow(l_shipdate) - 1 AS INTEGER) AS dayofweek, CAST(quarter(l_shipdate) AS INTEGER) AS quarter,
+       CAST(CAST(l_shipdate AS DATE) = last_day(l_shipdate) AS INTEGER) AS month_end
 FROM lineitem"""
 
 

@@ -250,6 +250,13 @@ def test_calendar_has_month_day_and_weekday(spark):
     assert [tuple(r)[1:] for r in clean.calendar_features(df, "d").collect()] == [(2, 29, 3), (None, None, None)]
 
 
+def test_calendar_query_has_quarter_and_month_end(spark):
+    from panelforge.plans.catalog import QUERIES
+    days = spark.createDataFrame([(datetime.date(2024, 2, 29),), (datetime.date(2023, 12, 30),), (None,)], "d date")
+    assert [tuple(r)[1:] for r in clean.period_features(days, "d").collect()] == [(1, 1), (4, 0), (None, None)]
+    assert {"month", "day", "dayofweek", "quarter", "month_end"} <= set(QUERIES["calendar_features"](spark, "/root/testdata/sf0.001").columns)
+
+
 def test_mostly_missing_is_more_than_95_percent(spark):
     df = spark.range(100).selectExpr("id", "CASE WHEN id < 4 THEN 1 END AS a", "CASE WHEN id < 5 THEN 1 END AS b")
     assert clean.drop_mostly_missing(df, keep=["id"])[1] == ["a"]
