@@ -143,13 +143,16 @@ def build_panel(spark, sf_dir: str, n_lags: int = N_LAGS, materialize: bool = Tr
     series = series_of(spark, sf_dir)
     # the narrow series is stored: the wide lags and the per-date median both start from it
     series = _materialize(series.select("l_suppkey", "month", "seq", "fwd", "ret", "vol_m")) if materialize else series
-    lagged = lag_matrix(series, "l_suppkey", "month", {"RET": "ret", "VOLUME": "vol_m"}, n_lags)
-    kept = (lagged.where((F.col("seq") >= n_lags + 1) & F.col("fwd").isNotNull())
-            .withColumn("DATE", ((F.year("month") - 1995) * 12 + F.month("month") - 1).cast("int")))
-    med = group_median(kept, ["DATE"], ["fwd"], names=["fwd_median"])
+    # Whatever is joined by date joins the narrow rows; the wide ones stay as the lags'
+    # window deals them, by supplier, which is also the key of the last join.
+    series = series.withColumn("DATE", ((F.year("month") - 1995) * 12 + F.month("month") - 1).cast("int"))
+    kept = (F.col("seq") >= n_lags + 1) & F.col("fwd").isNotNull()
+    med = group_median(series.where(kept), ["DATE"], ["fwd"], names=["fwd_median"])
+    med = _materialize(med) if materialize else med  # a row for each month, of known size
+    lagged = lag_matrix(series.join(med, "DATE", "left"), "l_suppkey", "month", {"RET": "ret", "VOLUME": "vol_m"}, n_lags)
     hier = _hierarchy(spark, sf_dir)
-    out = (kept.join(med, "DATE")
-           .join(hier, kept.l_suppkey == hier.s_suppkey)
+    out = (lagged.where(kept & F.col("fwd_median").isNotNull())
+           .join(hier, F.col("l_suppkey") == hier.s_suppkey)
            .select(
                (supp * 1000 + seq).cast("long").alias("ID"),
                "DATE",

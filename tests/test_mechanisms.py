@@ -270,3 +270,23 @@ def test_dimension_is_broadcast_only_while_small(spark):
         got = left_join_chain(facts, mid, dim, "k", "mk", "d", "dk", small)
         assert [tuple(r) for r in got.select("f", "name").collect()] == [(1, "x")]
         assert ("broadcast" in got._jdf.queryExecution().logical().toString()) == bool(small)
+
+
+def test_wide_panel_rows_are_dealt_once(spark):
+    """No exchange lies above the window of the lags: the joins come before it or share its key."""
+    from panelforge.sources.panel import build_panel
+    before = {n: spark.conf.get(n) for n in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = build_panel(spark, "/root/testdata/sf0.001", materialize=False)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    depth = [len(line) - len(line.lstrip(" :+-|")) for line in plan]
+    at = next(i for i, line in enumerate(plan) if "Window" in line and "lag(vol_m" in line)
+    above, left = [], depth[at]
+    for i in range(at - 1, -1, -1):
+        if depth[i] < left:
+            above, left = [*above, plan[i]], depth[i]
+    assert above and not [line for line in above if "Exchange" in line]
