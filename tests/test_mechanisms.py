@@ -290,3 +290,19 @@ def test_wide_panel_rows_are_dealt_once(spark):
         if depth[i] < left:
             above, left = [*above, plan[i]], depth[i]
     assert above and not [line for line in above if "Exchange" in line]
+
+
+def test_knn_stores_no_row_for_each_pair_of_receiver_and_block(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    sizes, keep = [], impute.materialize
+
+    def counted(df):
+        out = keep(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(impute, "materialize", counted)
+    _, work = impute.knn_impute_work(frame_of(spark, x), ["c0", "c1", "c2"], k=2, block_rows=4)
+    assert work.compared > 0 and max(sizes) <= 2 * np.isnan(x).sum() + len(x)
