@@ -1,4 +1,5 @@
-"""Model training, tuning and scoring with MLlib (data-parallel fits).
+"""Model training, tuning and scoring with MLlib (data-parallel fits); forests of many
+trees are grown by ``forest``.
 
 Features are assembled into one vector column; ``prepare`` fills missing values
 with 0 first (as the benchmark does).  Searches over settings and folds are in
@@ -11,14 +12,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import TARGET
+from .forest import ForestClassifier
 
 
 def prepare(df: DataFrame, features: Sequence[str], target: str = TARGET) -> DataFrame:
@@ -38,9 +39,8 @@ def decision_tree(max_depth: int = 11, min_leaf: int = 50, impurity: str = "gini
     return DecisionTreeClassifier(maxDepth=max_depth, minInstancesPerNode=min_leaf, impurity=impurity, seed=seed)
 
 
-def random_forest(num_trees: int = 500, max_depth: int = 8, seed: int = 0, memory_mb: int = 1024):
-    """``memory_mb`` bounds the statistics of the nodes that are split in one pass over the rows."""
-    return RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed, maxMemoryInMB=memory_mb)
+def random_forest(num_trees: int = 500, max_depth: int = 8, seed: int = 0) -> ForestClassifier:
+    return ForestClassifier(num_trees, max_depth, seed)
 
 
 def gradient_boosting(max_iter: int = 100, step: float = 0.1, max_bins: int = 255, seed: int = 10,

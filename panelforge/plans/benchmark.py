@@ -48,6 +48,6 @@ def stored_date_cv(spark: SparkSession, prepared: Callable[[], DataFrame], folde
 
 
 def submission(train: DataFrame, test: DataFrame, num_trees: int = 500, max_depth: int = 8, seed: int = 0) -> DataFrame:
-    """Fit on all prepared training rows, decide per date on the test rows."""
-    final = models.random_forest(num_trees, max_depth, seed).fit(train)
+    """Fit on all prepared training rows, stored first, decide per date on the test rows."""
+    final = models.random_forest(num_trees, max_depth, seed).fit(materialize(train.select("features", "label")))
     return groupstats.date_median_decision(models.score(final, test), "proba", out=TARGET).select("ID", TARGET)
