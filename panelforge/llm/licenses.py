@@ -2,10 +2,11 @@
 
 A sparse logistic regression over word n-grams tells licence families and an
 unknown class apart.  It is trained on the templates below, each with words left
-out and with text of the corpus around it, against paragraphs of the corpus, with
-and without licence words, loose licence words, notices with their version or name
-left out and denied ones as the unknown class.  The probability that a family must
-reach is calibrated on all background paragraphs that the fit has not seen.
+out and with text of the corpus around it, against lines of the corpus, with
+and without licence words, loose licence words and notices with their version or name
+left out as the unknown class.  Half of all lines, by hash, serve the fit: lines that
+hold the same n-grams of the templates are one row, weighted by their number.  The
+probability that a family must reach is calibrated on the other half.
 
 A text is tokenized once, and only where it holds one of a few words without which
 no template can be confirmed.  Its word pairs are looked up among those of all
@@ -75,8 +76,8 @@ NAMES = ["mit", "isc", "apache", "lesser", "affero", "mozilla", "eclipse", "bsd"
 DENIALS = ["not", "never", "isn", "aren", "nor", "longer"]
 # End of fixed values.
 
-BACKGROUND = 2000  # bound of the sample of corpus paragraphs
-FALSE_SHARE = 0.001  # share of unseen background that may reach the calibrated probability
+FALSE_SHARE = 0.001  # share of unseen lines, with and without licence words, that may reach the calibrated probability
+STEPS = 10_000  # probabilities are told apart by so many steps when they are counted
 CONFIRM = 0.7  # share of a template's word pairs that must be in the stretch
 LEAST = 0.5
 FOREIGN = 0.3  # a background paragraph with licence words holds less of every template
@@ -104,6 +105,8 @@ def _number(word: str) -> bool:
 ALL = [Template(family, text) for family, some in TEMPLATES.items() for text in some]
 #: Words that tell a notice from another one of nearly the same text.
 TELLING = sorted({w for t in ALL for w in t.must})
+WORDS = sorted({w for t in ALL for w in t.words})
+PLAIN, GATED = -1, -2  # kinds of a background row that is no template's surroundings
 
 
 def _gate() -> list[str]:
@@ -155,6 +158,14 @@ def grams(w: str) -> Column:
     return F.array_distinct(F.concat(F.col(w), pairs(w), three))
 
 
+def known_grams(w: str) -> Column:
+    """``grams`` without those that hold a NULL, in order; for words of which few are known."""
+    n, m = F.greatest(F.size(w) - 1, F.lit(0)), F.greatest(F.size(w) - 2, F.lit(0))
+    two = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    three = F.zip_with(F.slice(two, F.lit(1), m), F.slice(w, F.lit(3), m), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.sort_array(F.array_distinct(F.array_compact(F.concat(F.col(w), two, three))))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(key, unit, paragraph): the lines of each text, and its blocks of several lines
     between blank ones with the lines joined."""
@@ -216,51 +227,88 @@ class Classifier:
         return out.drop("_p", "prediction", "rawPrediction", "features")
 
 
-def background(docs: DataFrame, most: int = BACKGROUND) -> DataFrame:
-    """(line, h, plain), stored: ``most`` lines of ``docs`` (key, text) without licence words
-    and as many that have some but hold little of any template, those of the smallest hash."""
-    line = F.explode(F.split("text", r"\n"))
-    lines = docs.select(line.alias("line")).where(F.trim("line") != "")
-    lines = lines.withColumn("plain", ~held("line", GATE)).withColumn("h", F.xxhash64("line"))
-    # More candidates than needed: those that hold much of a template are left out below.
-    some = [lines.where("plain").orderBy("h", "line").limit(most)]
-    some += [lines.where("NOT plain").select("line", "plain", "h").distinct().orderBy("h", "line").limit(4 * most)]
-    some = store(some[0].unionByName(some[1]), "lines").withColumn("place", F.monotonically_increasing_id())
-    near = stretches(some.where("NOT plain").select("place", words(F.col("line")).alias("w"))).where(F.col("share") >= FOREIGN).select("place").distinct()
-    foreign = some.where("NOT plain").join(near, "place", "left_anti").orderBy("h", "line").limit(most)
-    return store(some.where("plain").unionByName(foreign).select("line", "h", "plain"), "background")
+def background(docs: DataFrame) -> DataFrame:
+    """(kind, fitted, some, n), stored: all lines of ``docs`` (key, text), equal rows as one
+    with their number.  ``some`` is for kind ``PLAIN`` the n-grams of known words in a line
+    without licence words, for ``GATED`` a line with some, and for a template's number
+    the words a plain line puts around it (empty if not known).  ``fitted`` tells the
+    half of the lines for the fit; only these surround templates, each one."""
+    lines = docs.select(F.explode(F.split("text", r"\n")).alias("line")).where(F.trim("line") != "")
+    lines = lines.select("line", held("line", GATE).alias("gated"), F.xxhash64("line").alias("h"))
+    known = F.transform(words(F.col("line")), lambda w: F.when(w.isin(WORDS), w))
+    lines = lines.withColumn("w", F.when(~F.col("gated"), known)).withColumn("fitted", F.pmod("h", F.lit(2)) == 0)
+
+    def row(kind: Column, some: Column) -> Column:
+        return F.struct(kind.cast("int").alias("kind"), "fitted", some.alias("some"))
+
+    plain = row(F.lit(PLAIN), known_grams("w"))
+    around = row(F.floor(F.pmod("h", F.lit(2 * len(ALL))) / 2), F.transform(F.slice("w", 1, 4), lambda w: F.coalesce(w, F.lit(""))))
+    rows = F.when(F.col("gated"), F.array(row(F.lit(GATED), F.array("line")))).when(F.col("fitted"), F.array(plain, around)).otherwise(F.array(plain))
+    return store(lines.select(F.explode(rows).alias("r")).select("r.*").groupBy("kind", "fitted", "some").agg(F.count(F.lit(1)).alias("n")), "background")
+
 
+def unlike(some: DataFrame) -> DataFrame:
+    """(fitted, w), stored: the words of the distinct lines of ``background`` that have
+    licence words but hold little of any template."""
+    gated = some.where(F.col("kind") == GATED).select("fitted", words(F.col("some")[0]).alias("w")).withColumn("place", F.monotonically_increasing_id())
+    gated = store(gated, "gated")
+    near = stretches(gated.select("place", "w")).where(F.col("share") >= FOREIGN).select("place").distinct()
+    return store(gated.join(near, "place", "left_anti").select("fitted", "w"), "unlike")
 
-def train(docs: DataFrame, most: int = BACKGROUND) -> Classifier:
-    """Fit on the templates and a bounded ``background``: see the module's docstring."""
+
+def train(docs: DataFrame) -> Classifier:
+    """Fit on the templates and the ``background``: see the module's docstring.  The kinds
+    of rows of a class weigh the same, so that many plain lines do not outweigh the others."""
     spark = docs.sparkSession
-    some = background(docs, most)
+    some = background(docs)
+    foreign = unlike(some)
     base = templates(spark).select("t", "family", "w", "must")
-    whole = base.select("family", "w")
+    one, unknown = F.lit(1).cast("long").alias("n"), F.lit(UNKNOWN).alias("family")
+
+    def part(name: str, rows: DataFrame, n: Column = one, g: Column | None = None) -> DataFrame:
+        return rows.select(F.lit(name).alias("part"), "family", (grams("w") if g is None else g).alias("grams"), n)
+
     dropped = base.where(F.size("w") > 4).select("family", "must", F.explode("w").alias("x"), "w")
     # Without a telling word it could be another licence's notice.
     less = dropped.select(F.when(F.array_contains("must", F.col("x")), F.lit(UNKNOWN)).otherwise(F.col("family")).alias("family"), F.filter("w", lambda x: x != F.col("x")).alias("w"))
-    around = some.where(F.col("plain") & (F.pmod("h", F.lit(2)) == 0)).select(words(F.col("line")).alias("b"), F.pmod("h", F.lit(2 * len(ALL))).alias("n"))
-    inside = base.withColumn("n", 2 * F.col("t")).join(around, "n").select("family", F.concat(F.slice("b", 1, 2), "w", F.slice("b", 3, 2)).alias("w"))
-    loose = base.select(F.lit(UNKNOWN).alias("family"), F.explode("w").alias("x")).distinct().select("family", F.array("x").alias("w"))
-    none = some.where(F.pmod("h", F.lit(2)) == 0).select(F.lit(UNKNOWN).alias("family"), words(F.col("line")).alias("w"))
+    inside = some.where(F.col("kind") >= 0).join(F.broadcast(base), F.col("kind") == F.col("t"))  # fixed templates
+    inside = inside.select("family", "n", F.concat(F.slice("some", 1, 2), "w", F.slice("some", 3, 2)).alias("w"))
+    loose = base.select(unknown, F.explode("w").alias("x")).distinct().select("family", F.array("x").alias("w"))
+    plain = some.where(F.col("kind") == PLAIN).select(unknown, "fitted", "some", "n")
+    parts = [part("whole", base), part("less", less), part("inside", inside, F.col("n")), part("loose", loose),
+             part("plain", plain.where("fitted"), F.col("n"), F.col("some")), part("foreign", foreign.where("fitted").select(unknown, "w"))]
+    data = parts[0]
+    for more in parts[1:]:
+        data = data.unionByName(more)
     classes = sorted({*TEMPLATES, UNKNOWN})
     number = F.array_position(F.array(*map(F.lit, classes)), F.col("family")) - 1
-    data = whole.unionByName(less).unionByName(inside).unionByName(loose).unionByName(none).select(number.cast("double").alias("label"), "family", grams("w").alias("grams"))
-    weight = data.groupBy("family").agg((F.lit(1.0) / F.count(F.lit(1))).alias("weight"))
-    data = store(data.join(F.broadcast(weight), "family"), "licence-training")  # one row for each family
+    data = store(data.select("part", "family", number.cast("double").alias("label"), "grams", "n"), "licence-training")
+    total = data.groupBy("family", "part").agg(F.sum("n").alias("total"))
+    kinds = total.groupBy("family").agg(F.count(F.lit(1)).alias("kinds"))
+    weight = total.join(kinds, "family").select("family", "part", (1.0 / (F.col("total") * F.col("kinds"))).alias("each"))
+    data = data.join(F.broadcast(weight), ["family", "part"]).withColumn("weight", F.col("n") * F.col("each"))  # a few rows for each family
     vocabulary = [r["g"] for r in base.select(F.explode(grams("w")).alias("g")).distinct().orderBy("g").collect()]  # n-grams of the templates
     counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features", binary=True)
     model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", family="multinomial", regParam=0.001, elasticNetParam=0.5, maxIter=60).fit(counter.transform(data))
     classifier = Classifier(counter, model, classes, LEAST)
-    unseen = some.where(F.pmod("h", F.lit(2)) == 1).select(words(F.col("line")).alias("w")).select(grams("w").alias("grams"))
-    reach = F.when(F.col("predicted") != UNKNOWN, F.col("probability")).otherwise(F.lit(0.0))
-    reached = classifier.score(unseen).agg(F.percentile_approx(reach, F.lit(1 - FALSE_SHARE), F.lit(10000)).alias("p")).first()["p"]
-    if reached is not None:
-        classifier.least = min(0.99, max(LEAST, reached))
+    unseen = part("plain", plain.where("NOT fitted"), F.col("n"), F.col("some")).unionByName(part("foreign", foreign.where("NOT fitted").select(unknown, "w")))
+    reach = F.when(F.col("predicted") != UNKNOWN, F.ceil(F.col("probability") * STEPS)).otherwise(F.lit(0))
+    reached = classifier.score(unseen).groupBy("part", reach.alias("reach")).agg(F.sum("n").alias("n")).collect()  # two for each step at most
+    least = max((allowed([(r["reach"] / STEPS, r["n"]) for r in reached if r["part"] == p], FALSE_SHARE) for p in ("plain", "foreign")))
+    classifier.least = min(0.99, max(LEAST, least))
     return classifier
 
 
+def allowed(counted: list[tuple[float, int]], share: float) -> float:
+    """The least of the values, given with their numbers, that at most ``share`` of all exceed."""
+    left = share * sum(n for _, n in counted)
+    for value, n in sorted(counted, reverse=True):
+        left -= n
+        if left < 0:
+            return value
+    return 0.0
+
+
 # ---- the scan ------------------------------------------------------------------------------
 
 def scan(docs: DataFrame, classifier: Classifier) -> DataFrame:
