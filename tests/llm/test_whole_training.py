@@ -39,3 +39,10 @@ def test_op5_allowed_equals_sorting():
         assert sum(v > got for v in values) <= share * len(values)
         assert all(sum(v > x for v in values) > share * len(values) for x in set(values) if x < got)
     assert licenses.allowed([], 0.001) == 0.0 == pytest.approx(0)
+
+
+def test_store_compresses_as_asked(spark):
+    from panelforge.llm.common import store
+
+    stored = store(spark.range(100), "codec", "zstd")
+    assert stored.count() == 100 and all(".zstd." in f for f in stored.inputFiles())
