@@ -306,3 +306,22 @@ def test_knn_stores_no_row_for_each_pair_of_receiver_and_block(spark, monkeypatc
     monkeypatch.setattr(impute, "materialize", counted)
     _, work = impute.knn_impute_work(frame_of(spark, x), ["c0", "c1", "c2"], k=2, block_rows=4)
     assert work.compared > 0 and max(sizes) <= 2 * np.isnan(x).sum() + len(x)
+
+
+def test_model_input_computes_the_features_of_a_row_once(spark, monkeypatch):
+    """No filter on the features stands below the step that computes them."""
+    from panelforge.plans import processing
+    from panelforge.sources.panel import build_panel
+
+    plans, store = [], processing.materialize
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return store(df)
+
+    monkeypatch.setattr(processing, "materialize", seen)
+    panel = build_panel(spark, "/root/testdata/sf0.01").where("DATE % 2 = 0")
+    rows = processing.train_input(panel)
+    assert rows.count() and rows.count() == rows.dropna().count()
+    kinds = [[node.lower() for node in p.split("\n") if "filter" in node.lower()] for p in plans]
+    assert len(plans) == 4 and kinds[0] and not kinds[2], kinds  # train statistics, test statistics, train features, test features
