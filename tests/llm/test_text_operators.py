@@ -524,6 +524,20 @@ def test_op7_copies_are_not_taken_for_a_template():
     assert "All of this" in html_wrapper.content(near[0], path, set(fixed))
 
 
+def test_op7_learns_from_all_pages(spark):
+    """A line that few of a host's pages lack or word otherwise is no template, wherever they are."""
+    def page(i, line):
+        return f"<html><body><div><p>{line}</p><p>Story {i} about matter {i * 7}, told at some length.</p></div></body></html>"
+
+    pages = [(i, "h", page(i, "Offer of the day")) for i in range(200)] + [(200 + i, "g", page(i, "Offer of the day")) for i in range(200)]
+    pages[57] = (57, "h", page(57, "Quite another line"))
+    pages += pages[200:203]  # repeated rows count once
+    got = {r["host"]: r for r in html_wrapper.wrappers(spark.createDataFrame(pages, "key long, host string, html string").repartition(5)).collect()}
+    assert got["h"]["fixed"] == [] and [f.split("\t")[1] for f in got["g"]["fixed"]] == ["Offer of the day"]
+    for host in "hg":
+        assert (got[host]["path"], got[host]["fixed"]) == html_wrapper.induce([h for _, x, h in pages if x == host])
+
+
 def test_op7_on_given_pages(spark):
     rows = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in html_wrapper.op7_html_extract(spark, SF).collect():
