@@ -3,7 +3,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 from pyspark.sql import functions as F
 
 from panelforge.operators import metrics, models, split, tuning
@@ -87,6 +87,21 @@ def test_shared_fits_score_like_separate_ones(flow):
     assert again.scores == found.scores[:2] and not fitted
 
 
+def test_trees_of_all_depths_share_a_fit(flow, monkeypatch):
+    folds = tuning.folded(flow.frame, 2)
+    settings = tuning.grid(maxDepth=[1, 2, 4, 6], impurity=["gini", "entropy"])
+    want = [[science._tree(**s).fit(folds.where(F.col("fold") != k)).transform(folds.where(F.col("fold") == k))
+             .agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] for k in range(2)] for s in settings]
+    fitted, fit = [], DecisionTreeClassifier.fit
+    monkeypatch.setattr(DecisionTreeClassifier, "fit", lambda self, *rest: fitted.append(self.getMaxDepth()) or fit(self, *rest))
+    assert tuning.search(science._tree, settings, folds, 2).scores == want and fitted == [6] * 4
+    deep = fit(science._tree(6, "gini"), folds)
+    for depth in (0, 1, 3):
+        a, b = ([(r["ID"], r["prediction"], r["probability"].tolist()) for r in m.transform(folds).orderBy("ID").collect()]
+                for m in (tuning.first_levels(deep, depth), fit(science._tree(depth, "gini"), folds)))
+        assert a == b
+
+
 def test_first_of_equal_settings_wins():
     assert tuning.Search([{"a": 1}, {"a": 2}, {"a": 3}], [[0.5], [0.6], [0.6]]).best == {"a": 2}
 
