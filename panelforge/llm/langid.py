@@ -31,6 +31,7 @@ LETTERS = regex.compile(r"\p{L}{1,%d}" % LONGEST_WORD).findall
 HEAD = "▁"
 MULTIPLIER = np.uint64(0x100000001B3)
 MEMO = 100_000  # entries of a worker's memo; results do not depend on it
+LETTERS_AT_ONCE = 1 << 20  # characters of the texts whose words are counted at once, one text at least
 SCHEMA = "key long, lang_pred string, score double"
 
 
@@ -167,6 +168,16 @@ class Scorer:
     def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.langs:
             return [("und", 0.0)] * len(texts)
+        out, first, size = [], 0, 0
+        for i, t in enumerate(texts):
+            if i > first and size + len(t or "") > LETTERS_AT_ONCE:
+                out += self.some(texts[first:i])
+                first, size = i, 0
+            size += len(t or "")
+        return out + self.some(texts[first:])
+
+    def some(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The counts of words of all ``texts`` are held together."""
         counted = [Counter((t or "").lower().split(" ")) for t in texts]
         self.learn(set().union(*counted))
         out = []
