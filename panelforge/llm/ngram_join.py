@@ -37,6 +37,7 @@ PERCENT = 75
 HASHES = 8  # min-hashes that propose groups
 GROUP = 256  # sets in a group of the matrix
 COUNTED = 0.3  # fraction of the token space counted in step 1
+BYTES_AT_ONCE = 1 << 19  # of texts that are hashed together, one text at least: some 50 bytes are held for each
 
 P = np.uint64(0x9E3779B97F4A7C15)
 P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -56,10 +57,21 @@ def shingles(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text.  Bytes of A-Z are lowered and
     words are runs of anything but ASCII white space; a text of fewer words has
     its whole sequence as one shingle, one without words has none."""
-    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    out, some, size = [], [], 0
+    for t in texts:
+        raw = (t or "").encode("utf-8", "surrogatepass").lower()
+        if some and size + len(raw) > BYTES_AT_ONCE:
+            out += _shingles(some, words)
+            some, size = [], 0
+        some.append(raw)
+        size += len(raw)
+    return out + _shingles(some, words)
+
+
+def _shingles(raw: list[bytes], words: int) -> list[np.ndarray]:
     buf = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
     if not len(buf):
-        return [np.zeros(0, np.uint64) for _ in texts]
+        return [np.zeros(0, np.uint64) for _ in raw]
     gap = SPACE[buf]
     # Prefix sums of a polynomial give the hash of any stretch, whatever its place.
     power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(buf), P)]))
