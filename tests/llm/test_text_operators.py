@@ -381,6 +381,32 @@ def test_likeness_against_brute_force(spark, monkeypatch):
         assert a != b or near_ == 1.0
 
 
+def test_fingerprints_hold_all_anchors(spark, tmp_path):
+    """Long texts are compared by all anchors, not by those of the least hashes."""
+    from conftest import long_text
+    docs = [(i, long_text(400 + i, 60 + 45 * i)) for i in range(6)]
+    rows = {r["doc_id"]: r for r in syncmers.op2_syncmers(spark, write(spark.createDataFrame(docs, "doc_id long, text string"), tmp_path, "documents")).collect()}
+    edited = [t[:len(t) - len(t) // 4] + docs[(i + 1) % 6][1][:len(t) // 4] for i, t in docs]
+    for (i, t), (_, x, y, sx, sy, _, _) in zip(docs, near(spark, [(t, e) for (_, t), e in zip(docs, edited)])):
+        for found, entries, anchors in ((rows[i]["fingerprint"], sx, x), (rows[i]["edited_fingerprint"], sy, y)):
+            assert found == "".join(f"{e:016x}" for e in entries)
+            assert len(entries) == len({a["hash"] & (2**31 - 1) for a in anchors}) > (64 if i else 0)
+        assert len(found) % 16 == 0 and rows[i]["n_anchors"] == len(x)
+
+
+def test_next_documents_over_many_ranges(spark, monkeypatch, tmp_path):
+    """Where the ranges of keys end does not matter, nor do repeated rows."""
+    from conftest import long_text
+    docs = [(i * 7 % 90 if i % 5 else None, long_text(500 + i, 12)) for i in range(80)]
+    docs += docs[3:6] * 2 + [(None, None), (None, ""), (-(1 << 63), "least")]
+    folder = write(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), tmp_path, "documents")
+    seen = []
+    for size in (1, 4, 10_000):
+        monkeypatch.setattr(syncmers, "RANGE", size)
+        seen.append(sorted(map(str, syncmers.op2_syncmers(spark, folder).collect())))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == len(docs)
+
+
 # ---- 5 licences ----------------------------------------------------------------
 
 def test_op5_finds_planted_licences(spark, empty, tmp_path):
