@@ -537,6 +537,38 @@ def test_matching_equals_the_recursive_definition():
         assert all(x.label == y.label for x, y in pairs) and len({id(x) for x, _ in pairs}) == len(pairs)
 
 
+def test_long_child_lists_are_matched_as_short_ones(monkeypatch):
+    """Row by row or by parts, the very pairs of the plain matching."""
+    r = random.Random(32)
+
+    def page(depth):
+        if depth == 0 or r.random() < 0.3:
+            return f"<p>{r.choice('abc')}</p>"
+        return f"<{(t := r.choice(['div', 'ul']))}>" + "".join(page(depth - 1) for _ in range(r.randint(1, 5))) + f"</{t}>"
+
+    for _ in range(60):
+        a, b = (html_wrapper.Tree(html_wrapper.parse("<body>" + "".join(page(3) for _ in range(r.randint(1, 7))) + "</body>")) for _ in range(2))
+        found = []
+        for large, cells in ((10**9, 1), (0, 1), (0, 30), (0, 10**6), (6, 100)):
+            monkeypatch.setattr(html_wrapper, "LARGE", large)
+            monkeypatch.setattr(html_wrapper, "CELLS", cells)
+            pairs = []
+            found.append((html_wrapper.match(a, b, pairs), [(id(x), id(y)) for x, y in pairs]))
+        assert all(f == found[0] for f in found)
+
+
+def test_long_child_lists_are_aligned_by_texts():
+    """Lines that one of two long pages lacks do not shift what follows them."""
+    def page(lines, rows):
+        return html_wrapper.Tree(html_wrapper.parse("<body>" + "".join(f"<p>Line {i}</p>" for i in lines) + "<table>" + "".join(f"<tr><td><p>Row {i}</p><td><p>{i * i}</p></tr>" for i in rows) + "</table></body>"))
+
+    first = page(range(900), range(700))
+    nodes = html_wrapper.numbered(first)
+    fares = html_wrapper.alignment(first, nodes, page([i for i in range(900) if i % 40 != 3], [i for i in range(700) if i % 50 != 7]))
+    same = {t.text for t in first.all() if t.text and fares[nodes[id(t)]] == 2}
+    assert same >= {f"Line {i}" for i in range(900) if i % 40 != 3} | {f"Row {i}" for i in range(700) if i % 50 != 7}
+
+
 def test_op7_the_only_article_is_never_a_side_element():
     page = '<body><div class="widget"><article><h2 class="alert">Head</h2><p>Body</p></article></div><div class="related"><p>More</p></div></body>'
     assert html_wrapper.content(page, [], set()) == "Head\nBody"
