@@ -179,6 +179,33 @@ def test_all_models_metrics_against_sql(spark, flow):
     assert flat["neural_network.accuracy"] == got[("neural_network", "accuracy")] and len(flat) == 7 * 22
 
 
+def test_models_are_fitted_side_by_side(spark, flow, tmp_path, monkeypatch):
+    import shutil
+    import threading
+    import time
+    flow.boosting_search()
+    flow.tuned_tree()
+    shutil.copytree(flow.folder, tmp_path / "flow", ignore=shutil.ignore_patterns("model_*", "predictions"))
+    own = science.Science(spark, flow.data, str(tmp_path / "flow"), test_size=0.2, seed=42, boost_folds=3, plan=flow.plan, rounds=5, epochs=5)
+    lock, now, fits, fit = threading.Lock(), [], [], tuning.pipeline
+
+    def slow(estimator, *a):
+        with lock:
+            now.append(1)
+            fits.append(len(now))
+        time.sleep(2)
+        try:
+            return fit(estimator, *a)
+        finally:
+            with lock:
+                now.pop()
+
+    monkeypatch.setattr(tuning, "pipeline", slow)
+    found = own.seven_models()
+    won = {own.plan.whole(science.best_of(t)) for t in own.boosting_search().values()}
+    assert list(found) == MODEL_NAMES and len(fits) == 3 + len(won) and max(fits) == 3 + len(won)
+
+
 def test_metrics_read_the_scores_once(spark, flow):
     seen = spark.sparkContext.accumulator(0)
 
